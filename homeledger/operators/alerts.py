@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from homeledger.session import ship_package
+
 
 @dataclass(frozen=True)
 class AlertRule:
@@ -138,6 +140,7 @@ def alert_events(evaluated: DataFrame) -> DataFrame:
         .repartition("rule")
         .sortWithinPartitions("rule", "tick")
     )
+    ship_package(evaluated.sparkSession)
     return ordered.mapInPandas(_fold_sorted, ALERT_EVENTS)
 
 

@@ -14,6 +14,11 @@ from homeledger.sources.files import read_csv
 
 ISO_MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 _NESTED = (T.ArrayType, T.MapType, T.StructType)
+# Values are written as they are: outer spaces kept, quotes doubled.
+_CSV = {
+    "header": True, "quote": '"', "escape": '"', "emptyValue": '""',
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
 
 
 def default_name(prefix: str = "properties", suffix: str = ".csv") -> str:
@@ -39,8 +44,7 @@ def _write_counted(df: DataFrame, write) -> int:
 
 def save_csv(df: DataFrame, folder: str, name: str | None = None, encoding: str = "utf-8") -> str:
     path = _with_suffix(f"{folder}/{name or default_name()}", ".csv")
-    flat(df).write.csv(path, header=True, quote='"', escape='"', encoding=encoding,
-                       emptyValue='""', mode="overwrite")
+    flat(df).write.options(**_CSV).csv(path, encoding=encoding, mode="overwrite")
     return path
 
 
@@ -60,7 +64,7 @@ def append_csv(
         rows = old.unionByName(new, allowMissingColumns=True)
         if deduplicate:
             rows = drop_duplicate_rows(rows)
-    rows.write.csv(target, header=True, quote='"', escape='"', emptyValue='""', mode="error")
+    rows.write.options(**_CSV).csv(target, mode="error")
     return given.get["rows"]
 
 
@@ -80,7 +84,7 @@ def save_job_csv(df: DataFrame, folder: str, job_column: str = "job_id") -> int:
     """
     return _write_counted(
         flat(df),
-        lambda d: d.write.partitionBy(job_column).csv(folder, header=True, mode="append"),
+        lambda d: d.write.partitionBy(job_column).options(**_CSV).csv(folder, mode="append"),
     )
 
 
@@ -91,12 +95,8 @@ def save_table(df: DataFrame, path: str, table: str, mode: str = "overwrite") ->
 
 
 def export(df: DataFrame, path: str, fmt: str = "csv", encoding: str = "utf-8") -> str:
-    writer = df.write.mode("overwrite")
     if fmt == "csv":
-        flat(df).write.mode("overwrite").option("header", True).option(
-            "encoding", encoding).csv(path)
-    elif fmt == "json":
-        writer.option("encoding", encoding).json(path)
-    else:
-        writer.format(fmt).save(path)
+        df = flat(df)
+    options = _CSV if fmt == "csv" else {}
+    df.write.format(fmt).mode("overwrite").options(encoding=encoding, **options).save(path)
     return path

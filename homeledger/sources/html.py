@@ -19,6 +19,8 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from homeledger.session import ship_package
+
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = {"script", "style", "template"}
 _PART = re.compile(r'([\w-]+)|\.([\w-]+)|\[([\w-]+)(?:(\*?=)"([^"]*)")?\]')
@@ -50,16 +52,17 @@ class Pick:
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children")
+    """An element. ``page[at + 1:end]`` are the elements below it, in document order."""
 
-    def __init__(self, tag: str, attrs: dict, parent: "Node | None"):
-        self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+    __slots__ = ("tag", "attrs", "classes", "parent", "children", "page", "at", "end")
 
-    def below(self) -> Iterator["Node"]:
-        for c in self.children:
-            if isinstance(c, Node):
-                yield c
-                yield from c.below()
+    def __init__(self, tag: str, attrs: dict, parent: "Node | None", page: list):
+        self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+        self.classes = frozenset(attrs.get("class", "").split())
+        self.page, self.at, self.end = page, len(page), len(page) + 1
+        page.append(self)
+        if parent is not None:
+            parent.children.append(self)
 
     def text(self) -> str:
         """Text nodes stripped one by one and joined without a separator."""
@@ -75,33 +78,36 @@ class Node:
 class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("", {}, None)
+        self.page: list[Node] = []
+        self.open = Node("", {}, None, self.page)
 
     def handle_starttag(self, tag, attrs):
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.children.append(node)
+        node = Node(tag, {k: v or "" for k, v in attrs}, self.open, self.page)
         if tag not in VOID:
-            self.at = node
+            self.open = node
 
     def handle_startendtag(self, tag, attrs):
-        self.at.children.append(Node(tag, {k: v or "" for k, v in attrs}, self.at))
+        Node(tag, {k: v or "" for k, v in attrs}, self.open, self.page)
 
     def handle_endtag(self, tag):
-        node = self.at
+        node = self.open
         while node.parent is not None and node.tag != tag:
             node = node.parent
         if node.parent is not None:
-            self.at = node.parent
+            self.open = node.parent
 
     def handle_data(self, data):
-        self.at.children.append(data)
+        self.open.children.append(data)
 
 
 def parse(html: str) -> Node:
     tree = _Tree()
     tree.feed(html)
     tree.close()
-    return tree.root
+    for node in reversed(tree.page):
+        if node.parent is not None:
+            node.parent.end = max(node.parent.end, node.end)
+    return tree.page[0]
 
 
 @lru_cache(maxsize=512)
@@ -116,7 +122,7 @@ def _fits(node: Node, parts) -> bool:
     for tag, cls, attr, op, want in parts:
         if tag and node.tag != tag:
             return False
-        if cls and cls not in node.attrs.get("class", "").split():
+        if cls and cls not in node.classes:
             return False
         if attr:
             have = node.attrs.get(attr)
@@ -140,7 +146,8 @@ def _matches(node: Node, chain) -> bool:
 
 def select(root: Node, selector: str) -> Iterator[Node]:
     chains = _compile(selector)
-    return (n for n in root.below() if any(_matches(n, c) for c in chains))
+    below = root.page[root.at + 1:root.end]
+    return (n for n in below if any(_matches(n, c) for c in chains))
 
 
 def _value(node: Node, attrs: tuple[str, ...]):
@@ -202,4 +209,5 @@ def select_fields(
             out = pa.table(columns, names=keep + [f.name for f in new_fields])
             yield from out.combine_chunks().to_batches()
 
+    ship_package(pages.sparkSession)
     return pages.select(*keep, html).mapInArrow(run, ddl)

@@ -14,12 +14,12 @@ from homeledger.operators.clean import transform_properties
 from homeledger.operators.dedup import with_fingerprint
 from homeledger.operators.jobs import ENDED
 from homeledger.operators.validate import split_valid
-from homeledger.session import scratch_path
+from homeledger.session import scratch_path, ship_package
 
 
-def landed(spark: SparkSession, path: str, schema) -> DataFrame:
+def landed(spark: SparkSession, path: str, schema, only: str = "*.parquet") -> DataFrame:
     """Stream of parquet files as they land in a folder."""
-    return spark.readStream.schema(schema).parquet(path)
+    return spark.readStream.schema(schema).option("pathGlobFilter", only).parquet(path)
 
 
 def first_seen(stream: DataFrame, horizon: str | None = None, ts: str | None = None) -> DataFrame:
@@ -91,7 +91,8 @@ def _advance(
         if event:
             out.append((key[0], r.tick, event))
     state.update((now[0], None if now[1] is None else int(now[1].value // 1000)))
-    yield pd.DataFrame(out, columns=["rule", "tick", "event"])
+    if out:
+        yield pd.DataFrame(out, columns=["rule", "tick", "event"])
 
 
 def alert_stream(ticks: DataFrame, rules: list[AlertRule]) -> DataFrame:
@@ -100,6 +101,7 @@ def alert_stream(ticks: DataFrame, rules: list[AlertRule]) -> DataFrame:
     Ticks must arrive in time order across micro-batches (they do when they come from
     closed windows); within one batch they are sorted here.
     """
+    ship_package(ticks.sparkSession)
     evaluated = evaluate(ticks.withColumn("tick", F.col("tick").cast("timestamp")), rules)
     return evaluated.groupBy("rule").applyInPandasWithState(
         _advance,
