@@ -9,7 +9,10 @@ from homeledger.schema import schema_of
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """CSV with a header and a declared schema (zip codes stay text, no inference pass)."""
+    """CSV with a header and a declared schema (zip codes stay text, no inference pass).
+
+    Empty cells are null, also quoted ones.
+    """
     schema = schema_of("scraped") if schema is None else schema
     return spark.read.schema(schema).csv(
         path, header=True, quote='"', escape='"', multiLine=True, enforceSchema=False
