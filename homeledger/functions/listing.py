@@ -71,22 +71,22 @@ def status_from_text(c: Column) -> Column:
 
 
 def bedrooms(c: Column, studio: bool = False) -> Column:
-    n = extract(c, BEDS).try_cast("int")
+    n = F.regexp_extract(c, BEDS, 1).try_cast("int")
     if studio:
         n = F.coalesce(n, F.when(F.lower(c).contains("studio"), F.lit(0)))
     return n
 
 
 def bathrooms(c: Column) -> Column:
-    return to_double(extract(c, BATHS))
+    return to_double(F.regexp_extract(c, BATHS, 1))
 
 
 def square_feet(c: Column) -> Column:
-    return digits_to_long(extract(c, SQFT))
+    return digits_to_long(F.regexp_extract(c, SQFT, 1))
 
 
 def first_integer(c: Column) -> Column:
-    return digits_to_long(extract(c, r"([0-9,]+)"))
+    return digits_to_long(F.regexp_extract(c, r"([0-9,]+)", 1))
 
 
 def zpid(url: Column) -> Column:

@@ -5,22 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from homeledger.functions.text import WS, digits_to_long, extract, strip, to_double
+from homeledger.functions.text import WS, digits_to_long, strip, to_double
 
 # --- fixed values: patterns and limits that results depend on ----------------
 AMOUNT = r"\$?([0-9,]+\.?[0-9]*)"
 AMOUNT_WITH_UNIT = rf"(?i)([0-9,]+\.?[0-9]*){WS}*(?:dollars?|usd|\$)"
 AREA = rf"(?i)([0-9,]+\.?[0-9]*){WS}*(?:sq\.?{WS}*ft\.?|sqft|square{WS}*feet)"
 AREA_SHORT = rf"(?i)([0-9,]+\.?[0-9]*){WS}*sf"
-BARE_NUMBER = r"^[0-9,]+\.?[0-9]*$"
+BARE_NUMBER = r"^([0-9,]+\.?[0-9]*)$"
 FIRST_INT = r"\$?([0-9,]+)"
 INT_RANGE = rf"\$?([0-9,]+){WS}*-{WS}*\$?([0-9,]+)"
 CENTS_BELOW = 100000
 # ------------------------------------------------------------------------------
 
 
-def _no_commas(c: Column) -> Column:
-    return F.replace(c, F.lit(","), F.lit(""))
+def _number(c: Column, pattern: str) -> Column:
+    """First match without its thousands separators; null when it is not a number."""
+    return to_double(F.replace(F.regexp_extract(c, pattern, 1), F.lit(","), F.lit("")))
 
 
 def clean_price(c: Column) -> Column:
@@ -36,27 +37,21 @@ def clean_price(c: Column) -> Column:
 
 def amount_from_text(c: Column) -> Column:
     """First amount in free text; an amount with a currency word is the second try."""
-    return F.coalesce(
-        to_double(_no_commas(extract(c, AMOUNT))),
-        to_double(_no_commas(extract(c, AMOUNT_WITH_UNIT))),
-    )
+    return F.coalesce(_number(c, AMOUNT), _number(c, AMOUNT_WITH_UNIT))
 
 
 def area_from_text(c: Column) -> Column:
     """Square feet from text with a unit, or from a bare number, truncated."""
-    bare = F.when(strip(c).rlike(BARE_NUMBER), strip(c))
     return F.coalesce(
-        to_double(_no_commas(extract(c, AREA))),
-        to_double(_no_commas(extract(c, AREA_SHORT))),
-        to_double(_no_commas(bare)),
+        _number(c, AREA), _number(c, AREA_SHORT), _number(strip(c), BARE_NUMBER)
     ).cast("bigint")
 
 
 def rent_from_range(c: Column) -> Column:
     """``$1,200 - $1,800`` to the mean of both ends; otherwise the first number."""
-    lo = digits_to_long(extract(c, INT_RANGE, 1)).cast("double")
-    hi = digits_to_long(extract(c, INT_RANGE, 2)).cast("double")
-    first = digits_to_long(extract(c, FIRST_INT)).cast("double")
+    lo = digits_to_long(F.regexp_extract(c, INT_RANGE, 1)).cast("double")
+    hi = digits_to_long(F.regexp_extract(c, INT_RANGE, 2)).cast("double")
+    first = digits_to_long(F.regexp_extract(c, FIRST_INT, 1)).cast("double")
     return F.when((lo > 0) & (hi > 0), (lo + hi) / 2).otherwise(first)
 
 

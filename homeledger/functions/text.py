@@ -11,10 +11,17 @@ WS = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
 
+# The same characters as text, for trimming without a regex.
+WS_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x20\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+NUMBER = r"^((?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][0-9]+)?)$"
+
 
 def strip(c: Column) -> Column:
     """Remove leading and trailing whitespace of any kind."""
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def collapse_ws(c: Column) -> Column:
@@ -37,8 +44,7 @@ def extract(c: Column, pattern: str, group: int = 1) -> Column:
 
 def to_double(c: Column) -> Column:
     """Plain decimal text to double; null for anything else (``12d`` included)."""
-    numeric = c.rlike(r"^([0-9]+\.?[0-9]*|\.[0-9]+)([eE][0-9]+)?$")
-    return F.when(numeric, c.try_cast("double"))
+    return F.regexp_extract(c, NUMBER, 1).try_cast("double")
 
 
 def digits_to_long(c: Column) -> Column:
@@ -48,7 +54,7 @@ def digits_to_long(c: Column) -> Column:
 
 def first_decimal(c: Column) -> Column:
     """First run of digits and points as a number (ratings, lot sizes)."""
-    return to_double(extract(c, r"([0-9.]+)"))
+    return to_double(F.regexp_extract(c, r"([0-9.]+)", 1))
 
 
 def keep_number(c: Column) -> Column:

@@ -17,9 +17,12 @@ from homeledger.operators.validate import split_valid
 from homeledger.session import scratch_path, ship_package
 
 
-def landed(spark: SparkSession, path: str, schema, only: str = "*.parquet") -> DataFrame:
-    """Stream of parquet files as they land in a folder."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", only).parquet(path)
+def landed(
+    spark: SparkSession, path: str, schema, only: str = "*.parquet", files_per_batch: int = 1000
+) -> DataFrame:
+    """Stream of parquet files as they land in a folder, a bounded number per batch."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", only)
+    return reader.option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
 def first_seen(stream: DataFrame, horizon: str | None = None, ts: str | None = None) -> DataFrame:
