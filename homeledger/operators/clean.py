@@ -24,13 +24,15 @@ def clean_text_fields(df: DataFrame, fields: list[str] = TEXT_FIELDS) -> DataFra
 
 def parse_prices(df: DataFrame, fields: list[str] = PRICE_FIELDS) -> DataFrame:
     """Text prices to doubles; the text stays in ``<field>_raw`` where it gave no number."""
-    out = {}
-    for f in fields:
-        if f in df.columns and _is_text(df, f):
-            amount = money.amount_from_text(F.col(f))
-            out[f] = amount
-            out[f"{f}_raw"] = F.when(amount.isNull(), F.col(f))
-    return df.withColumns(out) if out else df
+    found = [f for f in fields if f in df.columns and _is_text(df, f)]
+    if not found:
+        return df
+    columns = df.columns
+    # The amount is its own column first, so that it is worked out once for both results.
+    amounts = df.withColumns({f"_amount_{f}": money.amount_from_text(F.col(f)) for f in found})
+    out = [F.col(f"_amount_{c}").alias(c) if c in found else F.col(c) for c in columns]
+    raw = [F.when(F.col(f"_amount_{f}").isNull(), F.col(f)).alias(f"{f}_raw") for f in found]
+    return amounts.select(*out, *raw)
 
 
 def parse_measurements(df: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from homeledger.operators.clean import price_per_sqft
 from homeledger.operators.grouped import group_median, previous_in_group
+from homeledger.session import materialize
 
 
 def with_price_per_sqft(df: DataFrame) -> DataFrame:
@@ -31,10 +32,12 @@ def with_property_age(df: DataFrame, as_of: Column) -> DataFrame:
 def with_city_median(df: DataFrame) -> DataFrame:
     """City median price on each row; rows without a city get null.
 
-    The median table has one row per city; Spark broadcasts it when it is small
-    and splits a hot city (AQE skew join) when it is not.
+    Runs the job that works out the medians and stores them, one row per city. With
+    the stored size known, Spark broadcasts them if they are below its limit, and the
+    listings are not shuffled at all; beyond the limit it joins by sort-merge, where a
+    hot city is split (AQE skew join).
     """
-    medians = group_median(df, "city", "price", "city_median_price")
+    medians = materialize(group_median(df, "city", "price", "city_median_price"), "city-median")
     return df.join(medians, "city", "left")
 
 

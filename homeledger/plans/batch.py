@@ -35,7 +35,10 @@ def transform(df: DataFrame, now: Column) -> DataFrame:
 def stages(
     df: DataFrame, as_of: Column, seen: DataFrame | None = None, order: str = "ingest_seq"
 ) -> Stages:
-    """All stages of a batch as one lazy plan; shuffles only for the fingerprint and the median."""
+    """All stages of a batch; the wide rows are shuffled for the fingerprint only.
+
+    Lazy, but for the small job behind the city medians.
+    """
     valid, invalid = split_valid(df)
     transformed = transform(valid, as_of)
     unique = deduplicate(transformed, seen, order)

@@ -24,6 +24,8 @@ def build_session(app: str, cpus: int | str = "*", shuffle_partitions: int = 8)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Long projections: generated methods beyond this size are not compiled by the JVM.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
