@@ -13,7 +13,7 @@ from homeledger.functions.text import WS
 from homeledger.operators import clean, enrich, validate
 from homeledger.plans import batch
 from homeledger.plans.fixtures import (
-    listing_snapshots, listings, locations, orders_as_of, table,
+    listing_snapshots, listings, locations, orders_as_of, spread, table,
 )
 from homeledger.schema import PROPERTY_TYPES
 
@@ -22,10 +22,10 @@ from homeledger.schema import PROPERTY_TYPES
 SELECT doc_id AS id, 'document' AS kind, {s_clean('text')} AS cleaned FROM documents
 UNION ALL SELECT page_id, 'page', {s_clean('html')} FROM pages""")
 def _(spark, sf):
-    docs = table(spark, sf, "documents").select(
+    docs = spread(table(spark, sf, "documents")).select(
         F.col("doc_id").alias("id"), F.lit("document").alias("kind"),
         F.col("text").alias("description"))
-    pages = table(spark, sf, "pages").select(
+    pages = spread(table(spark, sf, "pages")).select(
         F.col("page_id").alias("id"), F.lit("page").alias("kind"),
         F.col("html").alias("description"))
     return docs.unionAll(pages).transform(clean.clean_text_fields).select(
