@@ -9,7 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_roots: dict[str, str] = {}
+_roots: dict[str, str] = {}
 _shipped: set[str] = set()
 
 
@@ -33,26 +33,28 @@ def build_session(app: str, cpus: int | str = "*", shuffle_partitions: int = 8)
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: the cluster's ``spark.checkpoint.dir``.
+    """This application's folder for intermediate tables, on storage that all executors share.
 
-    Only a local session without that setting gets a temporary folder.
+    It lies under ``spark.checkpoint.dir``, or under the warehouse where that is unset, and the
+    driver's file system deletes it when the application ends.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
     app = spark.sparkContext.applicationId
-    if app not in _local_roots:
-        _local_roots[app] = tempfile.mkdtemp(prefix="homeledger-")
-    return _local_roots[app]
+    if app not in _roots:
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/scratch-{app}")
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _roots[app] = str(path)
+    return _roots[app]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Cut lineage: write ``df`` as parquet in the shared folder and read it back (an action).
 
     The written table survives lost executors, and its file sizes give the
@@ -60,7 +62,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    writer = df.write if compression is None else df.write.option("compression", compression)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
