@@ -15,7 +15,7 @@ from homeledger.llm.text import row_key
 from homeledger.session import materialize, ship_package
 
 MIN_TILE = 5
-COVERAGE = 0.8
+COVERAGE = 0.5  # share of a test item; what texts share by chance stays well below it
 FILTER_BITS = 1 << 24
 WORD = re.compile(r"\w+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -259,8 +259,12 @@ def contaminated(
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """The documents' rows without the contaminated ones, all columns kept."""
+    """The documents' rows without the contaminated ones, all columns kept.
+
+    Null and empty texts stay; of repeated rows all stay or none.
+    """
     bad = contaminated(docs, benchmark, coverage).select(F.col("key").alias("_key")).distinct()
+    bad = materialize(bad, "tiling-contaminated")  # its size then tells Spark how to join it
     columns = [F.col(f"`{c}`") for c in docs.columns]
     packed = docs.select(row_key().alias("_key"), F.struct(*columns).alias("_row"))
     return packed.join(bad, "_key", "left_anti").select("_row.*")

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from homeledger.session import materialize, ship_package
 
@@ -204,26 +205,27 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of every document with ``lang_pred`` and ``score`` (0 to 1).
+    """``row`` (a struct of the columns ``keep``), ``lang_pred`` and ``score`` of every document.
 
-    The score is the calibrated probability of the predicted language. A null text, or one
-    without a letter, gives ``und`` and 0. One pass, no shuffle; the model's size is fixed by
-    the number of buckets and languages.
+    The score, 0 to 1, is the calibrated probability of the predicted language. A null text, or one
+    without a letter, gives ``und`` and 0. Repeated rows give a row each. One pass, no shuffle;
+    the model's size is fixed by the number of buckets and languages.
     """
     spark: SparkSession = docs.sparkSession
     ship_package(spark)
     shared = spark.sparkContext.broadcast(model)
-    types = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in keep)
+    whole = "text" in keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shared.value.predict(t.as_py()) for t in batch.column(len(keep))]
+            texts = batch.column(0).field(keep.index("text")) if whole else batch.column(1)
+            found = [shared.value.predict(t.as_py()) for t in texts]
             added = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(keep)], *added], names=[*keep, "lang_pred", "score"]
-            )
-
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("_text")).mapInArrow(
-        run, f"{schema}, lang_pred string, score double"
-    )
+            yield pa.RecordBatch.from_arrays([batch.column(0), *added], names=["row", "lang_pred", "score"])
+
+    row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")
+    given = docs.select(row) if whole else docs.select(row, F.col("text").cast("string").alias("text"))
+    schema = T.StructType([
+        given.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())
+    ])
+    return given.mapInArrow(run, schema)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from homeledger.llm import (
     decontaminate, language, lengths, licenses, linerules, packing, pii, quality, shards, simhash,
 )
@@ -82,7 +83,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = language.fit(docs.filter(fold("doc_id", 3) != 1))
-    return language.predict(docs, model, ["doc_id"]).select(
+    return language.predict(docs, model, ["doc_id"]).select("row.doc_id", "lang_pred", "score").select(
         "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score"
     )
 
@@ -99,3 +100,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "common_words",
     )
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

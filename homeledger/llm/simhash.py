@@ -230,5 +230,6 @@ def deduplicate(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -
     winners = found.groupBy("root").agg(F.min(order).alias("w"), F.min_by("key", order).alias("_key"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
     packed = docs.select(row_key().alias("_key"), F.struct(*columns).alias("_row"))
-    kept = packed.join(winners.select("_key"), "_key", "left_semi")
+    winners = materialize(winners.select("_key"), "simhash-winners")
+    kept = packed.join(winners, "_key", "left_semi")
     return kept.dropDuplicates(["_key"]).select("_row.*")
