@@ -42,6 +42,7 @@ def rolling(words: np.ndarray, length: int) -> np.ndarray:
     count = len(words) - length + 1
     if count <= 0:
         return np.empty(0, dtype=np.uint64)
+    words = words.astype(np.uint64)  # signed input wraps to the same bits
     out = np.zeros(count, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for at in range(length):
