@@ -61,7 +61,7 @@ CC_PARTS = (
     ("cc-by-nc-sa", "by nc sa", "attribution non ?commercial share ?alike"),
     ("cc-by-nc-nd", "by nc nd", "attribution non ?commercial no ?deriv(?:ative)?s"),
 )
-VERSION = "(?:version |ver |v )?"
+VERSION = "(?:version |ver |v ?|version v ?)?"
 ANCHORS = ("license", "licence", "licensed", "spdx", "cc", "creative", "cc0", "unlicense")
 RULE = "rule int, priority int, anchor string, keyword string, before string, after string, label string, score double"
 

@@ -1,0 +1,87 @@
+import random
+from collections import Counter
+
+import brute
+from conftest import DOCUMENTS
+from pyspark.sql import functions as F
+
+from homeledger.llm import pii
+
+CASES = [
+    "a@b.c", "a@b", "a@b@c.d", ".@x.y-z..w", "x@y.zz@q.rr", "%+-@-.-", "1.2.3.4.5.6.7.8", "256.1.1.1 1.2.3.4",
+    "0001.2.3.255", "99999.1.1.1", "1.1.1.99999999999999999999", "4111 1111 1111 1111", "4111-1111-1111-1112", "4111  1111 1111 1111",
+    "1" * 25, "+1 (555) 123-4567", "+1(2", "+12345678 9 0", "+1..........2 34567890", "++49 30 1234567 -", "+1 2 x +3 4444444444",
+    "mail bob.x@mail.example.com or +44 20 7946 0958, ip 10.0.0.1; card 5500 0000 0000 0004", "é@b.cd ü.x@y.zü", "0@0.0.0.0",
+]
+
+
+def test_base_spans_equal_the_patterns():
+    rng = random.Random(1)
+    pieces = ["a", "Z9", "@", ".", "1", "23", "255", "256", "+", "-", " ", "(", ")", "4111111111111111", "é", "\n", "x.y", "%"]
+    cases = CASES + ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 40))) for _ in range(20_000)]
+    for text in cases:
+        assert pii.base_spans(text) == [s[:3] for s in brute.base_spans(text)[2]], text
+
+
+def test_long_runs_are_linear():
+    for text in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "a@" * 150_000, "+1" * 100_000, "1 " * 150_000 + "x", "a.b" * 99_999 + "@"):
+        pii.scan(text)
+
+
+def test_query_columns_on_edges(spark, edge, edge_rows, empty):
+    rows = pii.personal_data(edge).withColumn("sha", F.sha2("base", 256)).collect()
+    got = Counter((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.sha) for r in rows)
+    want = Counter()
+    for doc_id, text, *_ in edge_rows:
+        n, sha, _ = brute.base_spans(text)
+        want[(doc_id, *n, sha)] += 1
+    assert got == want
+    assert pii.personal_data(empty).count() == 0
+
+
+def people(n):
+    rng = random.Random(2)
+    rows = []
+    for i in range(n):
+        key = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+        texts = [f"the api token is {key} ok", f"commit {key} was checked", f"born 0{1 + i % 9}/11/19{40 + i % 50} in town",
+                 f"her ssn {rng.randrange(100, 600)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)} was sent", "plain words only",
+                 f"mail me at user{i}@site{i % 7}.com", f"call phone (555) 123-4{i % 1000:03d} now"]
+        rows += [(i * len(texts) + k, t, "en", "s", len(t)) for k, t in enumerate(texts)]
+    return rows
+
+
+def test_labelers_agree_on_more_kinds(spark):
+    rows = people(60)
+    df = spark.createDataFrame(rows, DOCUMENTS)
+    got = {r.doc_id: r.spans for r in pii.personal_data(df).collect()}
+    kinds = Counter((doc_id % 7, got[doc_id].split(":")[0]) for doc_id in got)
+    assert kinds[(0, "secret")] == 60 and kinds[(3, "ssn")] == 60 and kinds[(5, "email")] == 60
+    assert kinds[(1, "secret")] == 0 and kinds[(4, "")] == 60
+    for doc_id, text, *_ in rows:
+        base = ",".join(f"{k}:{a}:{b}" for a, _, b, k in brute.base_spans(text)[2])
+        assert set(base.split(",")) <= set(got[doc_id].split(",")) | {""}
+
+
+def test_em_finds_the_reliable_labeler():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    truth = rng.random(20_000) < 0.4
+    given = np.zeros((len(truth), 4), dtype=int)
+    for i, right in enumerate((0.95, 0.8, 0.6, 0.75)):
+        vote = np.where(rng.random(len(truth)) < right, truth, ~truth)
+        given[:, i] = np.where(rng.random(len(truth)) < 0.3, 0, np.where(vote, 1, -1))
+    patterns, count = np.unique(given, axis=0, return_counts=True)
+    posterior, rates = pii.reliabilities(np.zeros(len(patterns), dtype=int), patterns, count.astype(float))
+    assert np.abs(rates[1] - [0.95, 0.8, 0.6, 0.75]).max() < 0.08
+    assert np.abs(1 - rates[0] - [0.95, 0.8, 0.6, 0.75]).max() < 0.08
+
+
+def test_redact(spark, edge, edge_rows):
+    rows = [(1, "write bob@x.org or +1 (555) 123-4567!", "en", "s", 0), (2, None, "en", "s", 0), (3, "clean", "en", "s", 0)]
+    got = {r.doc_id: r for r in pii.redact(spark.createDataFrame(rows, DOCUMENTS)).collect()}
+    assert got[1].text == "write [EMAIL] or [PHONE]!" and got[1].n_chars == len(got[1].text)
+    assert got[2].text is None and got[3].text == "clean"
+    out = pii.redact(edge)
+    assert out.columns == edge.columns and out.count() == len(edge_rows)
