@@ -147,7 +147,7 @@ METRICS = """metrics AS (
     max(l_discount) AS cap_rate,
     max(CAST(round(l_extendedprice * 100) AS BIGINT)) AS zestimate,
     min(l_shipdate) AS created_at, min(l_shipdate) AS updated_at
-  FROM lineitem WHERE l_linenumber = 1 GROUP BY l_orderkey
+  FROM lineitem GROUP BY l_orderkey
 )"""
 
 POINTS = """points AS (

@@ -13,7 +13,7 @@ from homeledger.functions.text import WS
 from homeledger.operators import clean, enrich, validate
 from homeledger.plans import batch
 from homeledger.plans.fixtures import (
-    listing_snapshots, listings, locations, orders_as_of, spread, table,
+    listing_snapshots, listings, locations, orders_as_of, table,
 )
 from homeledger.schema import PROPERTY_TYPES
 
@@ -22,10 +22,10 @@ from homeledger.schema import PROPERTY_TYPES
 SELECT doc_id AS id, 'document' AS kind, {s_clean('text')} AS cleaned FROM documents
 UNION ALL SELECT page_id, 'page', {s_clean('html')} FROM pages""")
 def _(spark, sf):
-    docs = spread(table(spark, sf, "documents")).select(
+    docs = table(spark, sf, "documents").select(
         F.col("doc_id").alias("id"), F.lit("document").alias("kind"),
         F.col("text").alias("description"))
-    pages = spread(table(spark, sf, "pages")).select(
+    pages = table(spark, sf, "pages").select(
         F.col("page_id").alias("id"), F.lit("page").alias("kind"),
         F.col("html").alias("description"))
     return docs.unionAll(pages).transform(clean.clean_text_fields).select(
@@ -197,7 +197,7 @@ def _raw_records(spark, sf):
 
 _ROW_TRANSFORM = f"""ingest_seq, {s_clean("'  <b>Nice</b>' || chr(10) || ' home in  ' || city || ' <br>'")}
   AS description, floor(price) AS price, rent_estimate, CAST(square_feet AS BIGINT) AS square_feet,
-  {s_clean('street_address')} AS street_address, {s_clean('city')} AS city,
+  street_address, {s_clean('city')} AS city,
   CASE WHEN state IS NOT NULL THEN {s_state(s_clean('state'))} END AS state,
   CASE WHEN zip_code IS NOT NULL THEN {s_zip('zip_code')} END AS zip_code, bedrooms, bathrooms"""
 
@@ -312,7 +312,7 @@ WITH {LISTINGS}, {_FAULTS}, {_ERROR_ROWS}
 SELECT ingest_seq, error, 'Row ' || ingest_seq || ': ' || error AS message FROM errs
 ORDER BY ingest_seq, error LIMIT 10""")
 def _(spark, sf):
-    return validate.first_errors(validate.split_valid(_with_faults(spark, sf))[1])
+    return validate.first_errors(validate.split_valid(_with_faults(spark, sf))[1], 10)
 
 
 # --- enrichment -----------------------------------------------------------------------
@@ -440,7 +440,7 @@ def _(spark, sf):
     return enrich.price_changes(listing_snapshots(spark, sf), 10.0)
 
 
-_STD_FP = s_fp(s_clean("street_address"), s_clean("city"), s_state(s_clean("state")), s_zip("zip_code"))
+_STD_FP = s_fp("street_address", s_clean("city"), s_state(s_clean("state")), s_zip("zip_code"))
 
 
 @query("enr_11_batch_audit", f"""

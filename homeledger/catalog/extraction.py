@@ -224,7 +224,7 @@ SELECT job_id, page, pos FROM r WHERE rn <= 1000""")
 def _(spark, sf):
     k = F.col("ingest_seq")
     return cap_per_search(listings(spark, sf).select(
-        F.col("data_source").alias("job_id"), F.floor(k / 350).alias("page"), k.alias("pos")))
+        F.col("data_source").alias("job_id"), F.floor(k / 350).alias("page"), k.alias("pos")), 1000)
 
 
 # --- search pages ---------------------------------------------------------------------------

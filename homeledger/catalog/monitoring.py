@@ -15,15 +15,16 @@ from homeledger.session import scratch_path
 from homeledger.streaming import state as streams
 
 
-def _stats_sql(source: str, keep: int = 1000) -> str:
+def _stats_sql(source: str, keep: int | None = None) -> str:
     """Histogram statistics of a CTE with ``key, ts, seq, value``."""
     def pct(p: str) -> str:
         return f"v[CAST(floor({p}::DOUBLE * (len(v) - 1)) AS INTEGER) + 1]"
 
+    limit = "" if keep is None else f"WHERE rn <= {keep}"
     return f"""kept AS (SELECT key, value FROM (SELECT *, row_number() OVER (PARTITION BY key
-    ORDER BY ts DESC, seq DESC) AS rn FROM {source}) WHERE rn <= {keep}),
+    ORDER BY ts DESC, seq DESC) AS rn FROM {source}) {limit}),
   arr AS (SELECT key, list(value ORDER BY value) AS v, avg(value) AS mean FROM kept GROUP BY key),
-  stats AS (SELECT key, CAST(len(v) AS INTEGER) AS count, v[1] AS min, v[len(v)] AS max,
+  stats AS (SELECT key, CAST(len(v) AS BIGINT) AS count, v[1] AS min, v[len(v)] AS max,
     round(mean, 6) AS mean, {pct('0.5')} AS p50, {pct('0.95')} AS p95, {pct('0.99')} AS p99 FROM arr)"""
 
 
@@ -49,7 +50,7 @@ WITH {POINTS}, r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts D
 SELECT key, seq, value FROM r WHERE rn <= 1000""")
 def _(spark, sf):
     untagged = metric_points(spark, sf).withColumn("tags", F.lit(None).cast("map<string,string>"))
-    return metrics.histogram_values(untagged).select("key", "seq", "value")
+    return metrics.histogram_values(untagged, 1000).select("key", "seq", "value")
 
 
 @query("met_4_histogram_stats", f"WITH {POINTS}, {_stats_sql('points')} SELECT * FROM stats")
@@ -57,6 +58,19 @@ def _(spark, sf):
     return _r(metrics.histogram_stats(metric_points(spark, sf)), "mean")
 
 
+@query("met_4_newest_1000", f"""
+WITH {POINTS}, named AS (SELECT * REPLACE (name AS key) FROM points), {_stats_sql('named', 1000)}
+SELECT * FROM stats""")
+def _(spark, sf):
+    untagged = metric_points(spark, sf).withColumn("tags", F.lit(None).cast("map<string,string>"))
+    return _r(metrics.histogram_stats(untagged, keep=1000), "mean")
+
+
+@query("met_3_histogram_all_values", f"WITH {POINTS} SELECT key, seq, value FROM points")
+def _(spark, sf):
+    return metrics.histogram_values(metric_points(spark, sf)).select("key", "seq", "value")
+
+
 @query("met_4_stats_with_defaults", f"""
 WITH {POINTS}, {_stats_sql('points')}, asked AS (SELECT DISTINCT key FROM points
   UNION SELECT 'unknown.' || r_name FROM region)
@@ -97,7 +111,7 @@ def _(spark, sf):
 SELECT event_id AS seq, event_type AS name FROM (SELECT *, row_number() OVER (PARTITION BY event_type
   ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 10000""")
 def _(spark, sf):
-    return metrics.newest_points(metric_points(spark, sf)).select("seq", "name")
+    return metrics.newest_points(metric_points(spark, sf), 10000).select("seq", "name")
 
 
 @query("met_8_newest_points_cut", """
@@ -193,22 +207,28 @@ def _rules() -> list[alerts.AlertRule]:
     """Rules over the hourly ticks, with and without a cooldown that spans ticks."""
     rate = F.col("error_rate")
     return [
-        alerts.AlertRule("rate_low", rate > 0.1, "high", "Error rate", cooldown_minutes=30),
-        alerts.AlertRule("rate_mid", rate > 0.25, "medium", "Error rate", cooldown_minutes=180),
-        alerts.AlertRule("peak", F.col("peak") > 55, "critical", "Peak", cooldown_minutes=150),
+        alerts.AlertRule("rate_low", rate > 0.1, "high", "Error rate", "above a tenth", {"part": "api"}, 30),
+        alerts.AlertRule("rate_mid", rate > 0.25, "medium", "Error rate", "above a quarter", {"part": "api"}, 180),
+        alerts.AlertRule("peak", F.col("peak") > 55, "critical", "Peak", "a large value", {"part": "db", "kind": "max"}, 150),
     ]
 
 
+def _tag_text(df):
+    pairs = F.transform(F.array_sort(F.map_entries("tags")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return df.withColumn("tags", F.array_join(pairs, ","))
+
+
 _EVAL = """ev AS (
   SELECT tick, 'rate_low' AS rule, 'high' AS severity, 'Error rate' AS title,
-    30 AS cooldown_minutes, error_rate > 0.1 AS firing FROM ticks
-  UNION ALL SELECT tick, 'rate_mid', 'medium', 'Error rate', 180, error_rate > 0.25 FROM ticks
-  UNION ALL SELECT tick, 'peak', 'critical', 'Peak', 150, peak > 55 FROM ticks)"""
+    'above a tenth' AS description, 'part=api' AS tags, 30 AS cooldown_minutes, error_rate > 0.1 AS firing FROM ticks
+  UNION ALL SELECT tick, 'rate_mid', 'medium', 'Error rate', 'above a quarter', 'part=api', 180,
+    error_rate > 0.25 FROM ticks
+  UNION ALL SELECT tick, 'peak', 'critical', 'Peak', 'a large value', 'kind=max,part=db', 150, peak > 55 FROM ticks)"""
 
 
-@query("alr_1_evaluate_rules", f"WITH {TICKS}, {_EVAL} SELECT * FROM ev")
+@query("alr_1_evaluate_rules", f"WITH {TICKS}, {_EVAL} SELECT *, 'alert_rule:' || rule AS source FROM ev")
 def _(spark, sf):
-    return alerts.evaluate(alert_ticks(spark, sf), _rules())
+    return _tag_text(alerts.evaluate(alert_ticks(spark, sf), _rules()))
 
 
 @query("alr_2_default_rules", f"""
@@ -223,7 +243,7 @@ def _(spark, sf):
         F.col("errors").alias("scraping_jobs_failed"),
         F.col("requests").alias("scraping_jobs_started"),
         F.col("peak").alias("system_memory_usage"), F.col("peak").alias("system_cpu_usage"))
-    return alerts.evaluate(t, alerts.default_rules()).drop("title")
+    return alerts.evaluate(t, alerts.default_rules()).drop("title", "description", "source", "tags")
 
 
 ALERT_EVENTS_SQL = f"""
@@ -250,6 +270,25 @@ def _(spark, sf):
     return alerts.alert_events(alerts.evaluate(alert_ticks(spark, sf), _rules()))
 
 
+@query("alr_4_alert_records", f"""
+WITH e AS ({ALERT_EVENTS_SQL}), n AS (SELECT *, sum(CASE WHEN event = 'triggered' THEN 1 ELSE 0 END)
+  OVER (PARTITION BY rule ORDER BY tick) AS number FROM e),
+a AS (SELECT rule, CAST(number AS BIGINT) AS number, min(tick) AS created_at, max(tick) AS updated_at,
+  max(tick) FILTER (event = 'resolved') AS resolved_at FROM n GROUP BY rule, number)
+SELECT 'rule_' || rule AS alert_id, number, CASE rule WHEN 'peak' THEN 'Peak' ELSE 'Error rate' END AS title,
+  CASE rule WHEN 'peak' THEN 'a large value' WHEN 'rate_low' THEN 'above a tenth' ELSE 'above a quarter' END
+    AS description,
+  CASE rule WHEN 'peak' THEN 'critical' WHEN 'rate_low' THEN 'high' ELSE 'medium' END AS severity,
+  CASE WHEN resolved_at IS NULL THEN 'active' ELSE 'resolved' END AS status,
+  'alert_rule:' || rule AS source,
+  CASE rule WHEN 'peak' THEN 'kind=max,part=db' ELSE 'part=api' END AS tags,
+  created_at, updated_at, resolved_at FROM a""")
+def _(spark, sf):
+    rules = _rules()
+    events = alerts.alert_events(alerts.evaluate(alert_ticks(spark, sf), rules))
+    return _tag_text(alerts.alert_records(events, rules))
+
+
 @query("alr_4_firing_periods", f"""
 WITH {TICKS}, {_EVAL}, s AS (SELECT *, COALESCE(lag(firing) OVER w, FALSE) AS before,
   lead(tick) OVER w AS nxt FROM ev WINDOW w AS (PARTITION BY rule ORDER BY tick)),
@@ -307,7 +346,7 @@ def _land(spark, df, label):
     return streams.landed(spark, path, df.schema)
 
 
-_ROW_FP = s_fp(s_clean("street_address"), s_clean("city"),
+_ROW_FP = s_fp("street_address", s_clean("city"),
                f"CASE WHEN state IS NOT NULL THEN {s_state(s_clean('state'))} END",
                f"CASE WHEN zip_code IS NOT NULL THEN {s_zip('zip_code')} END")
 
@@ -348,7 +387,7 @@ SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL
   max(value) AS max, arg_max(value, (ts, event_id)) AS last FROM events GROUP BY 1, 2, 3""")
 def _(spark, sf):
     w = streams.windowed_metrics(_points_stream(spark, sf))
-    return _r(streams.run_to_end(w, "str3", "complete"), "total")
+    return _r(streams.run_to_end(w, "str3", ["window_start", "window_end", "name"]), "total")
 
 
 @query("str_4_sliding_look_back", """
@@ -359,16 +398,16 @@ SELECT ws AS window_start, ws + INTERVAL 1 HOUR AS window_end, event_type AS nam
   arg_max(value, (ts, event_id)) AS last FROM s GROUP BY 1, 2, 3""")
 def _(spark, sf):
     w = streams.windowed_metrics(_points_stream(spark, sf), "1 hour", "24 hours", "5 minutes")
-    return _r(streams.run_to_end(w, "str4", "complete"), "total")
+    return _r(streams.run_to_end(w, "str4", ["window_start", "window_end", "name"]), "total")
 
 
 @query("str_5_alert_stream", ALERT_EVENTS_SQL)
 def _(spark, sf):
-    stream = _land(spark, alert_ticks(spark, sf).coalesce(1), "str5-in")
+    stream = _land(spark, alert_ticks(spark, sf), "str5-in")
     return streams.run_to_end(streams.alert_stream(stream, _rules()), "str5")
 
 
 @query("str_6_job_state", JOB_FOLD_SQL)
 def _(spark, sf):
     stream = _land(spark, job_status_events(spark, sf), "str6-in")
-    return streams.run_to_end(streams.job_state(stream), "str6", "complete")
+    return streams.run_to_end(streams.job_state(stream), "str6", ["job_id"])

@@ -17,6 +17,9 @@ from homeledger.plans.fixtures import (
     orders_as_of, property_metrics, scrape_jobs, scrape_results, table,
 )
 from homeledger.schema import DATA_SOURCES, JOB_STATUSES, VIEW_COLUMNS
+from homeledger.session import scratch_path
+from homeledger.sinks.files import save_table
+from homeledger.sources.files import read_table
 
 CRITERIA = dict(
     data_source="zillow", min_price=5_000_000, max_price=45_000_000, min_bedrooms=1,
@@ -40,7 +43,7 @@ def _tables(spark, sf):
 WITH {PROPERTIES}, {LOCATIONS}, {_MATCH} SELECT {_COL_SQL} FROM matching
 ORDER BY created_at DESC NULLS FIRST, property_id LIMIT 100""")
 def _(spark, sf):
-    return search.search(*_tables(spark, sf), search.Criteria(**CRITERIA)).select(*_COLS)
+    return search.search(*_tables(spark, sf), search.Criteria(**CRITERIA, limit=100)).select(*_COLS)
 
 
 @query("qry_2_equality_filters", f"""
@@ -85,7 +88,7 @@ def _(spark, sf):
 WITH {PROPERTIES}, {LOCATIONS} SELECT p.property_id, l.state FROM properties p
 JOIN locations l ON p.location_id = l.id ORDER BY l.state ASC NULLS LAST, property_id LIMIT 100""")
 def _(spark, sf):
-    c = search.Criteria(order_by="state", order_direction="asc")
+    c = search.Criteria(order_by="state", order_direction="asc", limit=100)
     return search.search(*_tables(spark, sf), c).select("property_id", "state")
 
 
@@ -145,7 +148,7 @@ def _(spark, sf):
 WITH {LOCATIONS} SELECT * FROM locations WHERE city ILIKE '%nation_1%' AND state ILIKE '%ca%'
 ORDER BY id LIMIT 100""")
 def _(spark, sf):
-    return search.locations_in_area(locations(spark, sf), "nation_1", "ca")
+    return search.locations_in_area(locations(spark, sf), "nation_1", "ca", 100)
 
 
 @query("qry_13_locations_by_address", f"""
@@ -225,7 +228,9 @@ def _(spark, sf):
 
 @query("src_8_table_scan", f"WITH {PROPERTIES} SELECT {_VIEW_SQL} FROM properties")
 def _(spark, sf):
-    return with_all_columns(located_properties(spark, sf), "properties").select(*VIEW_COLUMNS)
+    path = scratch_path(spark, "src8")
+    save_table(located_properties(spark, sf), path, "properties")
+    return read_table(spark, path, VIEW_COLUMNS)
 
 
 @query("udf_sql_functions", f"""
@@ -245,8 +250,9 @@ def _(spark, sf):
 
 @query("mut_1_insert_properties", f"""
 WITH {LISTINGS}, stored AS (SELECT external_id, data_source FROM listings WHERE status = 'active'),
-old AS (SELECT min(ingest_seq) AS id, street_address, city, state, zip_code FROM listings
-  WHERE status = 'active' GROUP BY ALL),
+locs AS (SELECT ingest_seq AS id, street_address, city, state, zip_code FROM listings
+  WHERE status = 'active'),
+old AS (SELECT min(id) AS id, street_address, city, state, zip_code FROM locs GROUP BY ALL),
 fresh AS (SELECT * FROM listings n WHERE NOT EXISTS (SELECT 1 FROM stored s
   WHERE s.external_id = n.external_id AND s.data_source = n.data_source))
 SELECT f.ingest_seq, f.external_id, COALESCE(o.id, {_LOC_ID.replace('street_address', 'f.street_address')
@@ -258,31 +264,33 @@ FROM fresh f LEFT JOIN old o ON o.street_address IS NOT DISTINCT FROM f.street_a
 def _(spark, sf):
     df = listings(spark, sf)
     stored = df.filter("status = 'active'")
-    old = stored.groupBy("street_address", "city", "state", "zip_code").agg(
-        F.min("ingest_seq").alias("id"))
+    # Many stored locations share an address; the smallest id counts.
+    old = stored.select(F.col("ingest_seq").alias("id"), "street_address", "city", "state", "zip_code")
     rows, _ = tables.insert_properties(df, stored, old)
     return rows.select("ingest_seq", "external_id", "location_id")
 
 
 @query("mut_2_partial_update", f"""
-WITH {PROPERTIES}, u AS (SELECT DISTINCT l_orderkey AS property_id FROM lineitem
-  WHERE l_returnflag = 'R' AND l_linenumber = 1)
-SELECT p.property_id, CASE WHEN u.property_id IS NOT NULL THEN price + 100 ELSE price END AS price,
+WITH {PROPERTIES}, u AS (SELECT l_orderkey AS property_id, max(l_linenumber) AS last FROM lineitem
+  WHERE l_returnflag = 'R' GROUP BY 1)
+SELECT p.property_id, CASE WHEN u.property_id IS NOT NULL THEN price + 100 * last ELSE price END AS price,
   CASE WHEN u.property_id IS NOT NULL AND p.property_id % 2 = 0 THEN NULL ELSE bedrooms END
     AS bedrooms, bathrooms,
   CASE WHEN u.property_id IS NOT NULL THEN TIMESTAMP '2001-08-02' ELSE updated_at END AS updated_at
 FROM properties p LEFT JOIN u ON p.property_id = u.property_id""")
 def _(spark, sf):
     props = located_properties(spark, sf)
-    hit = table(spark, sf, "lineitem").filter("l_returnflag = 'R' AND l_linenumber = 1").select(
-        F.col("l_orderkey").alias("property_id")).distinct()
+    # One change for each returned line; the last line's change counts.
+    lines = table(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(
+        F.col("l_orderkey").alias("property_id"), "l_linenumber")
     even = F.col("property_id") % 2 == 0
-    updates = search.by_keys(props, hit, ["property_id"]).select(
-        "property_id", (F.col("price") + 100).alias("price"),
+    updates = props.join(lines, "property_id").select(
+        "property_id", (F.col("price") + 100 * F.col("l_linenumber")).alias("price"), "l_linenumber",
         F.lit(None).cast("double").alias("bedrooms"),
         F.when(even, F.array(F.lit("price"), F.lit("bedrooms"))).otherwise(F.array(F.lit("price")))
         .alias("set_fields"))
-    out = tables.update_rows(props, updates, "property_id", orders_as_of(), ["price", "bedrooms"])
+    out = tables.update_rows(
+        props, updates, "property_id", orders_as_of(), ["price", "bedrooms"], "l_linenumber")
     return out.select("property_id", "price", "bedrooms", "bathrooms", "updated_at")
 
 
@@ -304,8 +312,9 @@ def _(spark, sf):
 
 
 @query("mut_4_upsert_metrics", f"""
-WITH {METRICS}, c AS (SELECT o_orderkey AS property_id, CASE WHEN o_orderkey % 3 <> 0
-  THEN CAST(o_orderkey % 100 AS INTEGER) END AS walk_score FROM orders WHERE o_orderstatus = 'O')
+WITH {METRICS}, d AS (SELECT o_orderkey // 2 AS property_id, o_orderkey AS seq, CASE WHEN o_orderkey % 3 <> 0
+  THEN CAST(o_orderkey % 100 AS INTEGER) END AS walk_score FROM orders WHERE o_orderstatus = 'O'),
+c AS (SELECT property_id, arg_max_null(walk_score, seq) AS walk_score FROM d GROUP BY property_id)
 SELECT COALESCE(m.property_id, c.property_id) AS property_id,
   COALESCE(c.walk_score, m.walk_score) AS walk_score, cap_rate,
   CASE WHEN m.property_id IS NULL THEN TIMESTAMP '2001-08-02' ELSE created_at END AS created_at,
@@ -314,9 +323,10 @@ FROM metrics m FULL JOIN c ON m.property_id = c.property_id""")
 def _(spark, sf):
     k = F.col("o_orderkey")
     changes = table(spark, sf, "orders").filter("o_orderstatus = 'O'").select(
-        k.alias("property_id"), F.when(k % 3 != 0, (k % 100).cast("int")).alias("walk_score"))
+        F.expr("o_orderkey div 2").alias("property_id"), k.alias("seq"),
+        F.when(k % 3 != 0, (k % 100).cast("int")).alias("walk_score"))
     return tables.upsert_metrics(
-        property_metrics(spark, sf).drop("zestimate"), changes, orders_as_of(), ["walk_score"])
+        property_metrics(spark, sf).drop("zestimate"), changes, orders_as_of(), ["walk_score"], "seq")
 
 
 @query("mut_5_append_listings", f"""
@@ -353,7 +363,10 @@ def _(spark, sf):
         null.alias("zip_code"), null.alias("country_code"),
         F.lit(None).cast("double").alias("latitude"), F.lit(None).cast("double").alias("longitude"),
         null.alias("location"))
-    return tables.denormalise_locations(old, locations(spark, sf))
+    # Every location is stored twice, the second time with a larger zip code.
+    loc = locations(spark, sf)
+    again = loc.withColumn("zip_code", F.concat(F.col("zip_code"), F.lit("9")))
+    return tables.denormalise_locations(old, again.unionByName(loc))
 
 
 @query("mut_7_upgrade_schema", f"""
@@ -445,7 +458,7 @@ def _(spark, sf):
 
 @query("job_5_recent", f"WITH {JOBS} SELECT * FROM jobs ORDER BY created_at DESC, job_id DESC LIMIT 50")
 def _(spark, sf):
-    return jobs.recent(scrape_jobs(spark, sf))
+    return jobs.recent(scrape_jobs(spark, sf), 50)
 
 
 @query("job_6_active", f"WITH {JOBS} SELECT * FROM jobs WHERE status IN ('pending', 'running', 'retrying')")
@@ -461,8 +474,7 @@ def _(spark, sf):
 
 
 @query("job_8_list", f"""
-WITH {JOBS}, n AS (SELECT * FROM jobs ORDER BY created_at DESC, job_id DESC LIMIT 1000),
-f AS (SELECT * FROM n WHERE status = 'failed' AND data_source = 'zillow')
+WITH {JOBS}, f AS (SELECT * FROM jobs WHERE status = 'failed' AND data_source = 'zillow')
 SELECT *, (SELECT count(*) FROM f) AS total_count FROM f
 ORDER BY created_at DESC, job_id DESC LIMIT 20 OFFSET 20""")
 def _(spark, sf):
@@ -470,6 +482,14 @@ def _(spark, sf):
         scrape_jobs(spark, sf), status="failed", data_source="zillow", page=2, page_size=20)
 
 
+@query("job_8_list_newest_1000", f"""
+WITH {JOBS}, n AS (SELECT * FROM jobs ORDER BY created_at DESC, job_id DESC LIMIT 1000),
+f AS (SELECT * FROM n WHERE status = 'failed')
+SELECT *, (SELECT count(*) FROM f) AS total_count FROM f ORDER BY created_at DESC, job_id DESC LIMIT 20""")
+def _(spark, sf):
+    return jobs.job_list(scrape_jobs(spark, sf), status="failed", page_size=20, window=1000)
+
+
 _STATS = ", ".join(
     [f"count(*) FILTER (status = '{s}') AS status_{s}" for s in JOB_STATUSES]
     + [f"count(*) FILTER (data_source = '{s}') AS source_{s}" for s in DATA_SOURCES])
@@ -488,18 +508,18 @@ def _(spark, sf):
 @query("job_10_results_of_job", f"""
 WITH {RESULTS} SELECT id, job_id, raw_data FROM results WHERE job_id = '7' ORDER BY id LIMIT 1000""")
 def _(spark, sf):
-    return jobs.results_of(scrape_results(spark, sf), "7").select("id", "job_id", "raw_data")
+    return jobs.results_of(scrape_results(spark, sf), "7", 1000).select("id", "job_id", "raw_data")
 
 
 @query("job_11_unprocessed", f"""
 WITH {RESULTS} SELECT id, job_id FROM results WHERE NOT is_processed ORDER BY id LIMIT 100""")
 def _(spark, sf):
-    return jobs.unprocessed(scrape_results(spark, sf)).select("id", "job_id")
+    return jobs.unprocessed(scrape_results(spark, sf), 100).select("id", "job_id")
 
 
 @query("job_12_mark_processed", f"""
-WITH {RESULTS}, done AS (SELECT event_id AS id, CASE WHEN event_type = 'view' THEN 'ok' END AS data
-  FROM events WHERE event_type IN ('view', 'click'))
+WITH {RESULTS}, done AS (SELECT event_id // 3 AS id, max(CASE WHEN event_type = 'view' THEN 'ok' END) AS data
+  FROM events WHERE event_type IN ('view', 'click') GROUP BY 1)
 SELECT r.id, CASE WHEN d.id IS NOT NULL THEN TRUE ELSE is_processed END AS is_processed,
   data AS processed_data,
   CASE WHEN d.id IS NOT NULL THEN TIMESTAMP '2024-01-31' END AS processed_at,
@@ -507,7 +527,7 @@ SELECT r.id, CASE WHEN d.id IS NOT NULL THEN TRUE ELSE is_processed END AS is_pr
 FROM results r LEFT JOIN done d ON r.id = d.id""")
 def _(spark, sf):
     done = table(spark, sf, "events").filter("event_type IN ('view', 'click')").select(
-        F.col("event_id").alias("id"),
+        F.expr("event_id div 3").alias("id"),
         F.when(F.col("event_type") == "view", "ok").alias("processed_data"))
     marked = jobs.mark_processed(scrape_results(spark, sf), done, events_as_of())
     return jobs.mark_saved(marked, done).select(

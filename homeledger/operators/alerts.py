@@ -60,6 +60,28 @@ def default_rules() -> list[AlertRule]:
     ]
 
 
+def _tags(tags: dict[str, str]) -> Column:
+    pairs = [F.lit(x) for pair in sorted(tags.items()) for x in pair]
+    return F.create_map(*pairs).cast("map<string,string>")
+
+
+def describe(df: DataFrame, rules: list[AlertRule]) -> DataFrame:
+    """Adds what a rule says about its alerts to rows with ``rule``; rules are few, so a projection."""
+    def by_rule(value) -> Column:
+        out = F.lit(None)
+        for r in rules:
+            out = F.when(F.col("rule") == r.name, value(r)).otherwise(out)
+        return out
+
+    return df.withColumns({
+        "severity": by_rule(lambda r: F.lit(r.severity)),
+        "title": by_rule(lambda r: F.lit(r.title)),
+        "description": by_rule(lambda r: F.lit(r.description)),
+        "source": F.concat(F.lit("alert_rule:"), F.col("rule")),
+        "tags": by_rule(lambda r: _tags(r.tags)),
+    })
+
+
 def evaluate(ticks: DataFrame, rules: list[AlertRule]) -> DataFrame:
     """One row per tick and rule with ``firing``; rules are few, so this is a projection."""
     cells = F.array(
@@ -68,6 +90,9 @@ def evaluate(ticks: DataFrame, rules: list[AlertRule]) -> DataFrame:
                 F.lit(r.name).alias("rule"),
                 F.lit(r.severity).alias("severity"),
                 F.lit(r.title).alias("title"),
+                F.lit(r.description).alias("description"),
+                F.lit(f"alert_rule:{r.name}").alias("source"),
+                _tags(r.tags).alias("tags"),
                 F.lit(r.cooldown_minutes).alias("cooldown_minutes"),
                 F.coalesce(r.condition, F.lit(False)).alias("firing"),
             )
@@ -144,6 +169,26 @@ def alert_events(evaluated: DataFrame) -> DataFrame:
     return ordered.mapInPandas(_fold_sorted, ALERT_EVENTS)
 
 
+def alert_records(events: DataFrame, rules: list[AlertRule]) -> DataFrame:
+    """Alerts as rows, from the events of :func:`alert_events` or of the stream.
+
+    A trigger opens an alert, updates move ``updated_at``, a resolve closes it; ``number``
+    counts the alerts of a rule. An alert that was not resolved is active.
+    """
+    w = Window.partitionBy("rule").orderBy("tick")
+    opened = F.sum(F.when(F.col("event") == "triggered", 1).otherwise(0)).over(w)
+    folded = events.withColumn("number", opened).groupBy("rule", "number").agg(
+        F.min("tick").alias("created_at"),
+        F.max("tick").alias("updated_at"),
+        F.max(F.when(F.col("event") == "resolved", F.col("tick"))).alias("resolved_at"),
+    )
+    status = F.when(F.col("resolved_at").isNull(), "active").otherwise("resolved")
+    return describe(folded, rules).select(
+        F.concat(F.lit("rule_"), "rule").alias("alert_id"), "number", "title", "description", "severity",
+        status.alias("status"), "source", "tags", "created_at", "updated_at", "resolved_at",
+    )
+
+
 def fold_alert_events(events: DataFrame) -> DataFrame:
     """Current alert state from trigger, acknowledge and resolve events.
 

@@ -10,7 +10,7 @@ from homeledger.functions import address, listing, money
 from homeledger.functions.text import clean_text
 from homeledger.schema import schema_of
 
-TEXT_FIELDS = ["description", "address", "street_address", "city", "state"]
+TEXT_FIELDS = ["description", "address", "city", "state"]
 PRICE_FIELDS = ["price", "rent_estimate"]
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from homeledger.operators.clean import price_per_sqft
 from homeledger.operators.grouped import group_median, previous_in_group
-from homeledger.session import materialize
 
 
 def with_price_per_sqft(df: DataFrame) -> DataFrame:
@@ -32,13 +31,10 @@ def with_property_age(df: DataFrame, as_of: Column) -> DataFrame:
 def with_city_median(df: DataFrame) -> DataFrame:
     """City median price on each row; rows without a city get null.
 
-    Runs the job that works out the medians and stores them, one row per city. With
-    the stored size known, Spark broadcasts them if they are below its limit, and the
-    listings are not shuffled at all; beyond the limit it joins by sort-merge, where a
-    hot city is split (AQE skew join).
+    Lazy. The medians' size is known at run time, when AQE turns the join into a
+    broadcast if they are below its limit; beyond it a hot city is split (skew join).
     """
-    medians = materialize(group_median(df, "city", "price", "city_median_price"), "city-median")
-    return df.join(medians, "city", "left")
+    return df.join(group_median(df, "city", "price", "city_median_price"), "city", "left")
 
 
 def with_price_vs_market(df: DataFrame) -> DataFrame:

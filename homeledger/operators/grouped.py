@@ -2,41 +2,58 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Spark prunes "row_number <= k" before the shuffle up to this k
-# (default of spark.sql.optimizer.windowGroupLimitThreshold).
-_PRUNED_UP_TO = 1000
 # Log-scale buckets per e-fold used to narrow a quantile down to a small value range.
 _BUCKETS_PER_E = 256
 
 
-def top_per_group(
-    df: DataFrame, keys: list[str], order: list[Column], k: int = 1, salts: int = 64
-) -> DataFrame:
+def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int = 1) -> DataFrame:
     """The first ``k`` rows of each group in the given order.
 
-    Small ``k``: Spark keeps only ``k`` rows per group and map task before the
-    shuffle, so a hot group stays cheap. Larger ``k``: the same cut is made first
-    per (group, salt), spreading a hot group over ``salts`` tasks.
+    For ``k`` up to ``spark.sql.optimizer.windowGroupLimitThreshold`` Spark keeps only ``k``
+    rows per group and map task before the shuffle. For many rows of a time series use
+    :func:`newest_per_group`.
     """
-    if k > _PRUNED_UP_TO:
-        salted = df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
-        w = Window.partitionBy(*keys, "_salt").orderBy(*order)
-        df = salted.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)
-        df = df.drop("_rn", "_salt")
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")
 
 
-def group_median(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
-    """Exact interpolated median of ``value`` per ``key`` as ``(key, out)``.
+def newest_per_group(
+    df: DataFrame, keys: list[str], ts: str, tie: str, k: int, slice_by: str = "hour"
+) -> DataFrame:
+    """The newest ``k`` rows of each group by ``(ts, tie)``, for any ``k``; rows without ``ts`` come last.
+
+    Rows are counted per time slice, which shows the slice that holds rank ``k``; only rows
+    from that slice on are shuffled and ranked. The work follows ``k``, not the table.
+    """
+    at = F.date_trunc(slice_by, F.col(ts))
+    slices = df.groupBy(*keys, at.alias("_slice")).agg(F.count("*").alias("_n"))
+    newer = Window.partitionBy(*keys).orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
+    cuts = (
+        slices.withColumn("_before", F.coalesce(F.sum("_n").over(newer), F.lit(0)))
+        .filter(F.col("_before") < k)
+        .groupBy(*keys)
+        .agg(F.min("_slice").alias("_from"), F.max(F.col("_slice").isNull()).alias("_all"))
+    )
+    same = reduce(lambda a, b: a & b, [F.col(f"d.{c}").eqNullSafe(F.col(f"c.{c}")) for c in keys])
+    left = df.alias("d").join(cuts.alias("c"), same).filter((at >= F.col("_from")) | F.col("_all"))
+    return top_per_group(left.select("d.*"), keys, [F.desc(ts), F.desc(tie)], k)
+
+
+def values_at_ranks(
+    df: DataFrame, key: str, value: str, ranks: dict[str, Callable[[Column], Column]]
+) -> DataFrame:
+    """``(key, <name> ...)``: the value at a rank of each group, in ascending order from 0.
 
-    Equal values are counted first. Those counts are summed per coarse log-scale
-    bucket, which shows the bucket holding each middle rank, and only the values
-    of that bucket are then ordered. No task ever sees a whole group; null keys
-    and null values take no part.
+    ``ranks`` maps an output name to a function from the group's count to the rank. Equal
+    values are counted first. Those counts are summed per coarse log-scale bucket, which shows
+    the buckets holding the ranks, and only the values of those buckets are then ordered. No
+    task ever sees a whole group; null keys and null values take no part.
     """
     v = F.col(value).cast("double")
     counts = (
@@ -50,35 +67,37 @@ def group_median(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
     )
     by_bucket = counts.groupBy(key, "_b").agg(F.sum("_n").alias("_n"))
     upto = Window.partitionBy(key).orderBy("_b")
-    middle = (
-        by_bucket.withColumn("_end", F.sum("_n").over(upto))
-        .withColumn("_total", F.sum("_n").over(Window.partitionBy(key)))
-        .select(
-            key,
-            "_b",
-            (F.col("_end") - F.col("_n")).alias("_before"),
-            F.floor((F.col("_total") - 1) / 2).alias("_lo"),
-            F.floor(F.col("_total") / 2).alias("_hi"),
-            "_end",
-        )
-        .filter((F.col("_lo") < F.col("_end")) & (F.col("_hi") >= F.col("_before")))
+    total = F.sum("_n").over(Window.partitionBy(key))
+    placed = by_bucket.select(
+        key, "_b", F.sum("_n").over(upto).alias("_end"), "_n", total.alias("_total")
+    ).select(
+        key, "_b", "_end", (F.col("_end") - F.col("_n")).alias("_before"),
+        *[rank(F.col("_total")).cast("long").alias(f"_rank_{name}") for name, rank in ranks.items()],
     )
+    holds = [
+        (F.col(f"_rank_{name}") < F.col("_end")) & (F.col(f"_rank_{name}") >= F.col("_before"))
+        for name in ranks
+    ]
+    middle = placed.filter(reduce(lambda a, b: a | b, holds)).drop("_end")
     in_bucket = Window.partitionBy(key, "_b").orderBy("_v")
     ranked = (
-        counts.join(middle.drop("_end"), [key, "_b"])
+        counts.join(middle, [key, "_b"])
         .withColumn("_end", F.col("_before") + F.sum("_n").over(in_bucket))
         .withColumn("_start", F.col("_end") - F.col("_n"))
     )
 
-    def at(rank: str) -> Column:
-        hit = (F.col(rank) >= F.col("_start")) & (F.col(rank) < F.col("_end"))
-        return F.max(F.when(hit, F.col("_v")))
+    def at(name: str) -> Column:
+        rank = F.col(f"_rank_{name}")
+        return F.max(F.when((rank >= F.col("_start")) & (rank < F.col("_end")), F.col("_v")))
 
-    return (
-        ranked.groupBy(key)
-        .agg(at("_lo").alias("_a"), at("_hi").alias("_z"))
-        .select(key, (F.col("_a") + (F.col("_z") - F.col("_a")) * 0.5).alias(out))
-    )
+    return ranked.groupBy(key).agg(*[at(name).alias(name) for name in ranks])
+
+
+def group_median(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
+    """Exact interpolated median of ``value`` per ``key`` as ``(key, out)``."""
+    ends = {"_a": lambda n: F.floor((n - 1) / 2), "_z": lambda n: F.floor(n / 2)}
+    found = values_at_ranks(df, key, value, ends)
+    return found.select(key, (F.col("_a") + (F.col("_z") - F.col("_a")) * 0.5).alias(out))
 
 
 def previous_in_group(

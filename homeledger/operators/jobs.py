@@ -74,7 +74,7 @@ def retry(requests: DataFrame, jobs: DataFrame) -> DataFrame:
     )
 
 
-def recent(jobs: DataFrame, limit: int = 50) -> DataFrame:
+def recent(jobs: DataFrame, limit: int) -> DataFrame:
     return jobs.orderBy(F.col("created_at").desc(), F.col("job_id").desc()).limit(limit)
 
 
@@ -89,19 +89,20 @@ def failed(jobs: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:
 
 def job_list(
     jobs: DataFrame, status: str | None = None, data_source: str | None = None,
-    page: int = 1, page_size: int = 50, window: int = 1000,
+    page: int = 1, page_size: int = 50, window: int | None = None,
 ) -> DataFrame:
-    """A page of the newest ``window`` jobs that pass the filters, with the filtered count."""
-    newest = recent(jobs, window)
+    """A page of the jobs that pass the filters, newest first, with their count.
+
+    With ``window`` only the newest so many jobs are looked at, before the filters.
+    """
+    found = jobs if window is None else recent(jobs, window)
     if status:
-        newest = newest.filter(F.col("status") == status)
+        found = found.filter(F.col("status") == status)
     if data_source:
-        newest = newest.filter(F.col("data_source") == data_source)
-    total = newest.agg(F.count("*")).scalar()
-    ordered = newest.withColumn("total_count", total).orderBy(
-        F.col("created_at").desc(), F.col("job_id").desc()
-    )
-    return ordered.offset(page_offset(page, page_size)).limit(page_size)
+        found = found.filter(F.col("data_source") == data_source)
+    total = found.agg(F.count("*")).scalar()
+    ordered = found.orderBy(F.col("created_at").desc(), F.col("job_id").desc())
+    return ordered.offset(page_offset(page, page_size)).limit(page_size).withColumn("total_count", total)
 
 
 def statistics(jobs: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:
@@ -118,18 +119,26 @@ def statistics(jobs: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:
     )
 
 
-def results_of(results: DataFrame, job_id: str, limit: int = 1000) -> DataFrame:
-    return results.filter(F.col("job_id") == job_id).orderBy("id").limit(limit)
+def _first(results: DataFrame, limit: int | None) -> DataFrame:
+    return results if limit is None else results.orderBy("id").limit(limit)
+
 
+def results_of(results: DataFrame, job_id: str, limit: int | None = None) -> DataFrame:
+    """A job's results: all, or the first ``limit`` by id."""
+    return _first(results.filter(F.col("job_id") == job_id), limit)
 
-def unprocessed(results: DataFrame, limit: int = 100) -> DataFrame:
-    """Oldest results still to process; a null flag is not "unprocessed"."""
-    return results.filter(~F.col("is_processed")).orderBy("id").limit(limit)
+
+def unprocessed(results: DataFrame, limit: int | None = None) -> DataFrame:
+    """Results still to process, all or the oldest; a null flag is not "unprocessed"."""
+    return _first(results.filter(~F.col("is_processed")), limit)
 
 
 def mark_processed(results: DataFrame, done: DataFrame, now: Column) -> DataFrame:
-    """Set the flag and time for the ids in ``done``, and the data where it brings some."""
-    d = done.select("id", F.col("processed_data").alias("_data"), F.lit(True).alias("_d"))
+    """Set the flag and time for the ids in ``done``, and the data where it brings some.
+
+    An id listed more than once counts once, with the largest data it brings.
+    """
+    d = done.groupBy("id").agg(F.max("processed_data").alias("_data"), F.lit(True).alias("_d"))
     return (
         results.join(d, "id", "left")
         .withColumns({
@@ -142,6 +151,6 @@ def mark_processed(results: DataFrame, done: DataFrame, now: Column) -> DataFram
 
 
 def mark_saved(results: DataFrame, ids: DataFrame) -> DataFrame:
-    d = ids.select("id", F.lit(True).alias("_d"))
+    d = ids.select("id", F.lit(True).alias("_d")).distinct()
     flag = F.when(F.col("_d"), F.lit(True)).otherwise(F.col("is_saved_to_db"))
     return results.join(d, "id", "left").withColumn("is_saved_to_db", flag).select(*results.columns)

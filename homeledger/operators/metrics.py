@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from homeledger.operators.grouped import top_per_group
+from homeledger.operators.grouped import newest_per_group, values_at_ranks
 
 # --- fixed values ---------------------------------------------------------------
-HISTOGRAM_KEEP = 1000
-SERIES_KEEP = 10000
 RETENTION_HOURS = 24
 # --------------------------------------------------------------------------------
 
@@ -53,43 +51,36 @@ def gauges(points: DataFrame) -> DataFrame:
     return with_key(points).groupBy("key").agg(F.max_by("value", F.struct(*NEWEST)).alias("value"))
 
 
-def _newest_first() -> list[Column]:
-    return [F.col(c).desc() for c in NEWEST]
+def histogram_values(points: DataFrame, keep: int | None = None) -> DataFrame:
+    """The values of a histogram per key: all of them, or the newest ``keep``."""
+    keyed = with_key(points)
+    return keyed if keep is None else newest_per_group(keyed, ["key"], *NEWEST, keep)
 
 
-def histogram_values(points: DataFrame, keep: int = HISTOGRAM_KEEP) -> DataFrame:
-    """The newest values per key that a histogram keeps."""
-    return top_per_group(with_key(points), ["key"], _newest_first(), keep)
+def rank_percentile(p: float):
+    """Rank ``int(p * (n - 1))`` of a group of ``n`` values."""
+    return lambda n: F.floor(F.lit(p) * (n - 1))
 
 
-def rank_percentile(sorted_values: Column, p: float) -> Column:
-    """Value at index ``int(p * (n - 1))`` of a sorted array."""
-    index = F.floor(F.lit(p) * (F.size(sorted_values) - 1)).cast("int") + 1
-    return F.element_at(sorted_values, index)
+def histogram_stats(points: DataFrame, keep: int | None = None) -> DataFrame:
+    """Count, min, max, mean and percentiles per key, of all values or of the newest ``keep``.
 
-
-def histogram_stats(points: DataFrame, keep: int = HISTOGRAM_KEEP) -> DataFrame:
-    """Count, min, max, mean and percentiles of the kept values (at most ``keep`` per key)."""
-    values = (
-        histogram_values(points, keep)
-        .groupBy("key")
-        .agg(F.avg("value").alias("mean"), F.sort_array(F.collect_list("value")).alias("_v"))
-    )
-    return values.select(
-        "key",
-        F.size("_v").alias("count"),
-        F.element_at("_v", 1).alias("min"),
-        F.element_at("_v", -1).alias("max"),
-        "mean",
-        rank_percentile(F.col("_v"), 0.5).alias("p50"),
-        rank_percentile(F.col("_v"), 0.95).alias("p95"),
-        rank_percentile(F.col("_v"), 0.99).alias("p99"),
+    Plain mergeable aggregates, joined with the values at the percentiles' ranks; null values
+    count for nothing.
+    """
+    values = histogram_values(points, keep).filter(F.col("value").isNotNull())
+    plain = values.groupBy("key").agg(
+        F.count("*").alias("count"), F.min("value").alias("min"), F.max("value").alias("max"),
+        F.avg("value").alias("mean"),
     )
+    shares = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    ranked = values_at_ranks(values, "key", "value", {n: rank_percentile(p) for n, p in shares.items()})
+    return plain.join(ranked, "key")
 
 
-def stats_for(keys: DataFrame, points: DataFrame) -> DataFrame:
+def stats_for(keys: DataFrame, points: DataFrame, keep: int | None = None) -> DataFrame:
     """Histogram statistics for the asked keys, zeros where a key has no values."""
-    found = keys.select("key").distinct().join(histogram_stats(points), "key", "left")
+    found = keys.select("key").distinct().join(histogram_stats(points, keep), "key", "left")
     return found.na.fill(0)
 
 
@@ -103,11 +94,11 @@ def retain(points: DataFrame, as_of: Column, hours: int = RETENTION_HOURS) -> Da
     return points.filter(F.col("ts") >= as_of - F.expr(f"INTERVAL {int(hours)} HOURS"))
 
 
-def newest_points(points: DataFrame, keep: int = SERIES_KEEP) -> DataFrame:
-    return top_per_group(points, ["name"], _newest_first(), keep)
+def newest_points(points: DataFrame, keep: int) -> DataFrame:
+    return newest_per_group(points, ["name"], *NEWEST, keep)
 
 
-def snapshot(points: DataFrame) -> DataFrame:
+def snapshot(points: DataFrame, keep: int | None = None) -> DataFrame:
     """Long table of everything current: ``kind, key, stat, value``."""
     def of(kind: str) -> DataFrame:
         return points.filter(F.col("kind") == kind)
@@ -120,7 +111,7 @@ def snapshot(points: DataFrame) -> DataFrame:
         *[F.struct(F.lit(s).alias("stat"), F.col(s).cast("double").alias("value")) for s in stats]
     )
     histograms = (
-        histogram_stats(of("histogram"))
+        histogram_stats(of("histogram"), keep)
         .select(F.lit("histogram").alias("kind"), "key", F.explode(pairs).alias("p"))
         .select("kind", "key", "p.stat", "p.value")
     )
@@ -138,11 +129,14 @@ def read_values(keys: DataFrame, values: DataFrame) -> DataFrame:
     )
 
 
-def lifecycle(runs: DataFrame, prefix: str, subject: str = "name") -> DataFrame:
+def lifecycle(
+    runs: DataFrame, prefix: str, subject: str = "name", keep: int | None = None
+) -> DataFrame:
     """Started, completed and failed counts and duration statistics per subject.
 
     ``runs`` has one row per run: ``name``, ``outcome`` (``completed``, ``failed`` or
-    null while running), ``duration``, ``ts`` and ``seq``.
+    null while running), ``duration``, ``ts`` and ``seq``. All runs count; ``keep`` limits the
+    durations to the newest of a subject.
     """
     ended = runs.filter(F.col("outcome").isNotNull()).select(
         F.col(subject).alias("name"), "ts", "seq", F.col("duration").alias("value"),
@@ -153,7 +147,7 @@ def lifecycle(runs: DataFrame, prefix: str, subject: str = "name") -> DataFrame:
         F.count_if(F.col("outcome") == "completed").alias("completed"),
         F.count_if(F.col("outcome") == "failed").alias("failed"),
     )
-    durations = histogram_stats(ended).select(
+    durations = histogram_stats(ended, keep).select(
         "key", F.col("count").alias("timed"), F.col("mean").alias("duration_mean"),
         F.col("p95").alias("duration_p95"),
     )

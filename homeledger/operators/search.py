@@ -30,7 +30,7 @@ class Criteria:
     zip_code: str | None = None
     order_by: str = "created_at"
     order_direction: str = "desc"
-    limit: int = 100
+    limit: int | None = None
     offset: int = 0
 
 
@@ -95,11 +95,12 @@ def matching(properties: DataFrame, locations: DataFrame, c: Criteria) -> DataFr
 
 
 def search(properties: DataFrame, locations: DataFrame, c: Criteria) -> DataFrame:
-    """One page of matches: a distributed top-k, not a full sort."""
+    """One page of matches, by a distributed top-k; without a limit, all of them in order."""
     found = matching(properties, locations, c)
     name = c.order_by if c.order_by in found.columns else "created_at"
     found = found.orderBy(*ordering(name, c.order_direction, "property_id"))
-    return found.offset(c.offset).limit(c.limit)
+    found = found.offset(c.offset) if c.offset else found
+    return found if c.limit is None else found.limit(c.limit)
 
 
 def match_count(properties: DataFrame, locations: DataFrame, c: Criteria) -> DataFrame:
@@ -121,15 +122,16 @@ def stale(
     return old if limit is None else old.orderBy(F.col(ts).asc(), F.col(tie).asc()).limit(limit)
 
 
-def locations_in_area(locations: DataFrame, city: str, state: str, limit: int = 100) -> DataFrame:
-    return contains_filters(locations, city=city, state=state).orderBy("id").limit(limit)
+def locations_in_area(
+    locations: DataFrame, city: str, state: str, limit: int | None = None
+) -> DataFrame:
+    found = contains_filters(locations, city=city, state=state)
+    return found if limit is None else found.orderBy("id").limit(limit)
 
 
 def listings_of(listings: DataFrame, property_ids: DataFrame) -> DataFrame:
-    """Listings of the given properties, newest first within each."""
-    return by_keys(listings, property_ids, ["property_id"]).orderBy(
-        F.col("property_id"), F.col("created_at").desc(), F.col("id").desc()
-    )
+    """Listings of the given properties; sorting is left to the reader, who may take a part."""
+    return by_keys(listings, property_ids, ["property_id"])
 
 
 def latest_listing(listings: DataFrame) -> DataFrame:

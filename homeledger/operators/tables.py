@@ -16,12 +16,13 @@ def insert_properties(new: DataFrame, properties: DataFrame, locations: DataFram
 
     Known ``(external_id, data_source)`` pairs are left out. Location ids come from
     the address, so a new property needs no join to find the id of a new location;
-    the join is only there for locations stored under an older id.
+    the join is only there for locations stored under an older id. Of stored locations
+    with one address the smallest id counts.
     """
     accepted, _ = accept_new(new, properties)
     new_locations = resolve_locations(accepted, locations)
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"l.{c}")) for c in ADDRESS_KEYS]
-    known = locations.select("id", *ADDRESS_KEYS).alias("l")
+    known = locations.groupBy(*ADDRESS_KEYS).agg(F.min("id").alias("id")).alias("l")
     rows = (
         accepted.alias("a")
         .join(known, same, "left")
@@ -35,16 +36,25 @@ def insert_properties(new: DataFrame, properties: DataFrame, locations: DataFram
     return rows, new_locations
 
 
+def last_per_key(changes: DataFrame, key: str, fields: list[str], order: str | None) -> DataFrame:
+    """One row per key: the change with the greatest ``order``; ties, or no order, by value."""
+    row = F.struct(*fields)
+    rank = row if order is None else F.struct(F.col(order), row)
+    return changes.groupBy(key).agg(F.max_by(row, rank).alias("_last")).select(key, "_last.*")
+
+
 def update_rows(
-    table: DataFrame, updates: DataFrame, key: str, now: Column, fields: list[str]
+    table: DataFrame, updates: DataFrame, key: str, now: Column, fields: list[str],
+    order: str | None = None,
 ) -> DataFrame:
     """Partial update by key.
 
-    ``updates`` has one row per key, a ``set_fields`` array naming what it sets (so a
-    field can be set to null), and the new values. ``updated_at`` moves on every
-    touched row.
+    ``updates`` has a ``set_fields`` array naming what it sets (so a field can be set
+    to null), and the new values. Of several changes to a key the last one by ``order``
+    counts. ``updated_at`` moves on every touched row.
     """
-    u = updates.select(key, "set_fields", *[F.col(f).alias(f"_new_{f}") for f in fields])
+    last = last_per_key(updates, key, ["set_fields", *fields], order)
+    u = last.select(key, "set_fields", *[F.col(f).alias(f"_new_{f}") for f in fields])
     joined = table.join(u, key, "left")
     changed = {
         f: F.when(F.array_contains("set_fields", f), F.col(f"_new_{f}")).otherwise(F.col(f))
@@ -64,14 +74,16 @@ def delete_properties(ids: DataFrame, properties, listings, metrics):
 
 
 def upsert_metrics(
-    metrics: DataFrame, changes: DataFrame, now: Column, fields: list[str]
+    metrics: DataFrame, changes: DataFrame, now: Column, fields: list[str],
+    order: str | None = None,
 ) -> DataFrame:
     """Create or update by property: one full outer join on the key.
 
     Fields a change leaves null keep their old value; ``updated_at`` moves on
-    updated rows, new rows get both stamps.
+    updated rows, new rows get both stamps. Of several changes to a property the last
+    one by ``order`` counts.
     """
-    c = changes.select(
+    c = last_per_key(changes, "property_id", fields, order).select(
         "property_id", F.lit(True).alias("_c"), *[F.col(f).alias(f"_new_{f}") for f in fields]
     )
     m = metrics.withColumn("_m", F.lit(True))
@@ -89,8 +101,11 @@ def append_rows(table: DataFrame, new: DataFrame) -> DataFrame:
 def denormalise_locations(properties: DataFrame, locations: DataFrame) -> DataFrame:
     """Copy address columns from locations onto properties and drop ``location_id``.
 
-    Properties without a matching location keep their own values.
+    Properties without a matching location keep their own values. Of rows stored under
+    one location id the smallest, by value, counts.
     """
+    stored = F.struct(*[F.col(c) for c in locations.columns if c != "id"])
+    locations = locations.groupBy("id").agg(F.min(stored).alias("_row")).select("id", "_row.*")
     loc = locations.select(
         F.col("id").alias("location_id"),
         F.lit(True).alias("_l"),

@@ -95,6 +95,6 @@ def quality_rates(df: DataFrame, rules: dict[str, Column] | None = None) -> Data
     )
 
 
-def first_errors(invalid: DataFrame, row_key: str = "ingest_seq", n: int = 10) -> DataFrame:
+def first_errors(invalid: DataFrame, n: int, row_key: str = "ingest_seq") -> DataFrame:
     """The first ``n`` error lines in row order (a top-k, not a full sort)."""
     return error_report(invalid, row_key).orderBy(row_key, "error").limit(n)

@@ -19,13 +19,17 @@ from homeledger.sinks.files import save_job_csv
 
 @dataclass(frozen=True)
 class Stages:
-    """The lazy tables of one batch."""
+    """The lazy tables of one batch; ``enriched`` is planned only where it is asked for."""
 
     valid: DataFrame
     errors: DataFrame
     transformed: DataFrame
     unique: DataFrame
-    enriched: DataFrame
+    as_of: Column
+
+    @property
+    def enriched(self) -> DataFrame:
+        return enrich(self.unique, self.as_of)
 
 
 def transform(df: DataFrame, now: Column) -> DataFrame:
@@ -35,16 +39,11 @@ def transform(df: DataFrame, now: Column) -> DataFrame:
 def stages(
     df: DataFrame, as_of: Column, seen: DataFrame | None = None, order: str = "ingest_seq"
 ) -> Stages:
-    """All stages of a batch; the wide rows are shuffled for the fingerprint only.
-
-    Lazy, but for the small job behind the city medians.
-    """
+    """All stages of a batch; the wide rows are shuffled for the fingerprint only. Lazy."""
     valid, invalid = split_valid(df)
     transformed = transform(valid, as_of)
     unique = deduplicate(transformed, seen, order)
-    return Stages(
-        valid, error_report(invalid, order), transformed, unique, enrich(unique, as_of)
-    )
+    return Stages(valid, error_report(invalid, order), transformed, unique, as_of)
 
 
 def audit(

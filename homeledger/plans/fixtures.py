@@ -24,21 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Share a scan among the cores where it has fewer tasks than there are cores.
-
-    A small test table is one row group and so one task; a table of many files is
-    left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat scraped listings, one per order."""
     parts = table(spark, sf_dir, "part")
     n_parts = parts.agg(F.count("*")).scalar()
-    orders = spread(table(spark, sf_dir, "orders")).withColumn("_p", F.col("o_orderkey") % n_parts)
+    orders = table(spark, sf_dir, "orders").withColumn("_p", F.col("o_orderkey") % n_parts)
     joined = (
         orders.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -129,8 +119,8 @@ def located_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def property_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics of the properties whose order line 1 exists."""
-    li = table(spark, sf_dir, "lineitem").filter(F.col("l_linenumber") == 1)
+    """Metrics of the properties, from all lines of their orders."""
+    li = table(spark, sf_dir, "lineitem")
     return li.groupBy(F.col("l_orderkey").alias("property_id")).agg(
         F.max(F.col("l_quantity").cast("int")).alias("walk_score"),
         F.max("l_discount").alias("cap_rate"),

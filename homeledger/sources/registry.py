@@ -12,8 +12,6 @@ from homeledger.operators.grouped import top_per_group
 
 Extractor = Callable[[DataFrame], DataFrame]
 
-MAX_RESULTS = 1000
-
 
 class Sources:
     """Named extractors; new sources are added with :meth:`register`."""
@@ -39,7 +37,7 @@ class Sources:
 
 
 def cap_per_search(
-    records: DataFrame, cap: int = MAX_RESULTS, job: str = "job_id", order: tuple = ("page", "pos")
+    records: DataFrame, cap: int, job: str = "job_id", order: tuple = ("page", "pos")
 ) -> DataFrame:
     """The first ``cap`` records of each search, in page order (the search's own limit)."""
     return top_per_group(records, [job], [F.col(c) for c in order], cap)

@@ -38,10 +38,16 @@ def first_seen(stream: DataFrame, horizon: str | None = None, ts: str | None = N
     return timed.dropDuplicatesWithinWatermark(["fp"])
 
 
-def process_records(stream: DataFrame, processed_at: Column | None = None) -> DataFrame:
-    """Per-record chain: validate, transform, drop known addresses. No enrichment here."""
+def process_records(
+    stream: DataFrame, processed_at: Column | None = None,
+    horizon: str | None = None, ts: str | None = None,
+) -> DataFrame:
+    """Per-record chain: validate, transform, drop known addresses. No enrichment here.
+
+    ``horizon`` bounds the state as in :func:`first_seen`.
+    """
     valid, _ = split_valid(stream)
-    return first_seen(transform_properties(valid, processed_at))
+    return first_seen(transform_properties(valid, processed_at), horizon, ts)
 
 
 def _timed(points: DataFrame, delay: str) -> DataFrame:
@@ -72,7 +78,7 @@ def windowed_metrics(
 
 
 def job_state(events: DataFrame) -> DataFrame:
-    """Running fold of job status events (update or complete mode)."""
+    """Running fold of job status events (update mode)."""
     order = F.struct("ts", "seq")
     return events.groupBy("job_id").agg(
         F.max_by("status", order).alias("status"),
@@ -115,19 +121,22 @@ def alert_stream(ticks: DataFrame, rules: list[AlertRule]) -> DataFrame:
     )
 
 
-def run_to_end(df: DataFrame, label: str, mode: str = "append", timeout: int = 600) -> DataFrame:
+def run_to_end(
+    df: DataFrame, label: str, keys: list[str] | None = None, timeout: int = 600
+) -> DataFrame:
     """Run a stream over everything that has landed and return its result table.
 
-    Append results go to a parquet sink. Complete results replace the table of the
-    batch before; each batch has its own folder, so a retried batch rewrites only itself.
+    Without ``keys`` rows are appended. With them the stream runs in update mode: each
+    batch stores the rows it changed in its own folder (a retried batch rewrites only
+    itself), and the table holds the last row of each key. State that the watermark has passed is dropped.
     """
     spark = df.sparkSession
     out, log = scratch_path(spark, label), scratch_path(spark, f"{label}-log")
     writer = df.writeStream.option("checkpointLocation", log).trigger(availableNow=True)
-    if mode == "append":
+    if keys is None:
         query = writer.outputMode("append").format("parquet").option("path", out).start()
     else:
-        query = writer.outputMode(mode).foreachBatch(
+        query = writer.outputMode("update").foreachBatch(
             lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
         ).start()
     if not query.awaitTermination(timeout):
@@ -135,8 +144,9 @@ def run_to_end(df: DataFrame, label: str, mode: str = "append", timeout: int = 6
         raise TimeoutError(f"{label}: stream did not finish")
     if query.exception() is not None:
         raise query.exception()
-    if mode == "append":
+    if keys is None:
         return spark.read.schema(df.schema).parquet(out)
-    table = spark.read.option("basePath", out).parquet(out)
-    last = table.agg(F.max("batch")).scalar()
-    return table.filter(F.col("batch") == last).drop("batch")
+    changes = spark.read.option("basePath", out).parquet(out)
+    row = F.struct(*[c for c in df.columns if c not in keys])
+    last = changes.groupBy(*keys).agg(F.max_by(row, "batch").alias("_row"))
+    return last.select(*keys, "_row.*").select(*df.columns)

@@ -168,5 +168,5 @@ def test_fingerprint_state(spark, scratch):
 def test_cap_per_search(spark):
     df = spark.range(3000).select(F.lit("j").alias("job_id"), (F.col("id") / 350).cast("int").alias("page"),
                                   F.col("id").alias("pos"))
-    assert cap_per_search(df).agg(F.count("*"), F.max("pos")).first()[:] == (1000, 999)
+    assert cap_per_search(df, 1000).agg(F.count("*"), F.max("pos")).first()[:] == (1000, 999)
     assert cap_per_search(df, cap=2000).agg(F.count("*"), F.max("pos")).first()[:] == (2000, 1999)

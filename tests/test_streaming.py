@@ -49,10 +49,10 @@ def test_windows_closed_by_the_watermark_equal_the_batch(spark, scratch):
     assert set(closed) == {r for r in all_rows if r[0] <= last}
 
 
-def test_job_state_in_complete_mode(spark, scratch):
+def test_job_state_in_update_mode(spark, scratch):
     events = job_status_events(spark, SF)
     stream = land_in_order(spark, events, f"{scratch}/in", "ts", 3)
-    got = streams.run_to_end(streams.job_state(stream), "t-jobs", "complete")
+    got = streams.run_to_end(streams.job_state(stream), "t-jobs", ["job_id"])
     cols = ("job_id", "status", "updated_at")
     assert rows(got, *cols) == rows(jobs.fold_status(events), *cols)
 
