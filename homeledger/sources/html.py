@@ -11,6 +11,7 @@ comma list.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -23,6 +24,7 @@ from homeledger.session import ship_package
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = {"script", "style", "template"}
+SLICE = 256
 _PART = re.compile(r'([\w-]+)|\.([\w-]+)|\[([\w-]+)(?:(\*?=)"([^"]*)")?\]')
 
 
@@ -51,34 +53,49 @@ class Pick:
         return "array<string>" if self.every else "string"
 
 
+class Page(list):
+    """All elements of a page in document order, also listed by class and by tag."""
+
+    def __init__(self):
+        super().__init__()
+        self.by_class: dict[str, list[Node]] = {}
+        self.by_tag: dict[str, list[Node]] = {}
+
+
 class Node:
     """An element. ``page[at + 1:end]`` are the elements below it, in document order."""
 
     __slots__ = ("tag", "attrs", "classes", "parent", "children", "page", "at", "end")
 
-    def __init__(self, tag: str, attrs: dict, parent: "Node | None", page: list):
+    def __init__(self, tag: str, attrs: dict, parent: "Node | None", page: Page):
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
         self.classes = frozenset(attrs.get("class", "").split())
         self.page, self.at, self.end = page, len(page), len(page) + 1
         page.append(self)
+        page.by_tag.setdefault(tag, []).append(self)
+        for name in self.classes:
+            page.by_class.setdefault(name, []).append(self)
         if parent is not None:
             parent.children.append(self)
 
     def text(self) -> str:
-        """Text nodes stripped one by one and joined without a separator."""
-        out = []
-        for c in self.children:
-            if isinstance(c, str):
-                out.append(c.strip())
-            elif c.tag not in HIDDEN:
-                out.append(c.text())
+        """Text nodes stripped one by one and joined without a separator, at any depth."""
+        out, waiting = [], [iter(self.children)]
+        while waiting:
+            child = next(waiting[-1], None)
+            if child is None:
+                waiting.pop()
+            elif isinstance(child, str):
+                out.append(child.strip())
+            elif child.tag not in HIDDEN:
+                waiting.append(iter(child.children))
         return "".join(out)
 
 
 class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.page: list[Node] = []
+        self.page = Page()
         self.open = Node("", {}, None, self.page)
 
     def handle_starttag(self, tag, attrs):
@@ -145,9 +162,23 @@ def _matches(node: Node, chain) -> bool:
 
 
 def select(root: Node, selector: str) -> Iterator[Node]:
-    chains = _compile(selector)
-    below = root.page[root.at + 1:root.end]
-    return (n for n in below if any(_matches(n, c) for c in chains))
+    """Elements below ``root`` that fit, in document order; only those with the last step's class or tag are tried."""
+    found = [_chain(root, chain) for chain in _compile(selector)]
+    if len(found) == 1:
+        return found[0]
+    return iter(sorted({n.at: n for part in found for n in part}.values(), key=lambda n: n.at))
+
+
+def _chain(root: Node, chain) -> Iterator[Node]:
+    page = root.page
+    tag = next((t for t, *_ in chain[-1] if t), None)
+    cls = next((c for _, c, *_ in chain[-1] if c), None)
+    pool = page.by_class.get(cls, ()) if cls else page.by_tag.get(tag, ()) if tag else page
+    for i in range(bisect_right(pool, root.at, key=lambda n: n.at), len(pool)):
+        if pool[i].at >= root.end:
+            return
+        if _matches(pool[i], chain):
+            yield pool[i]
 
 
 def _value(node: Node, attrs: tuple[str, ...]):
@@ -191,7 +222,9 @@ def select_fields(
     new_fields += [pa.field(n, p.arrow_type()) for n, p in spec.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # Parsed pages are large, so an Arrow batch is worked off in slices.
+        slices = (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE))
+        for batch in slices:
             source = batch.column(batch.schema.get_field_index(html))
             at, rows = [], []
             for i, text in enumerate(source.to_pylist()):

@@ -18,7 +18,10 @@ HOME = (
     " photo_count int, photo_url string"
 )
 SITE = "https://www.redfin.com"
-LD_SCRIPT = r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'
+LD_TYPE = "application/ld\\+json"
+LD_SCRIPT = (
+    rf"""(?is)<script[^>]*\btype\s*=\s*(?:"{LD_TYPE}"|'{LD_TYPE}'|{LD_TYPE}(?=[\s>]))[^>]*>(.*?)</script>"""
+)
 
 
 def api_records(responses: DataFrame, body: str = "body", record: str = SCRAPED) -> DataFrame:

@@ -170,3 +170,22 @@ def test_cap_per_search(spark):
                                   F.col("id").alias("pos"))
     assert cap_per_search(df, 1000).agg(F.count("*"), F.max("pos")).first()[:] == (1000, 999)
     assert cap_per_search(df, cap=2000).agg(F.count("*"), F.max("pos")).first()[:] == (2000, 1999)
+
+
+def test_deep_pages_are_read(spark):
+    deep = "<div class='c'>" + "<p>x" * 5000 + "<b class='n'>end</b></div><div class='c'><i class='n'>two</i></div>"
+    pages = spark.createDataFrame([(1, deep), (2, "<div class='c'><b class='n'>y</b></div>")], "page_id int, html string")
+    spec = {"all": Pick(), "n": Pick(".n"), "both": Pick("b, i", every=True)}
+    got = {(r.page_id, r.pos): (len(r["all"]), r.n, r.both) for r in select_fields(pages, spec, (".c",)).collect()}
+    assert got[(1, 0)][0] == 5000 + len("end") + len("two") or got[(1, 0)][0] == 5000 + len("end")
+    assert got[(1, 0)][1] == "end" and got[(2, 0)] == (1, "y", ["y"])
+
+
+def test_script_type_in_any_quotes(spark):
+    body = '{"@type": "Product", "description": "d", "offers": {"price": 5}}'
+    kinds = ['type="application/ld+json"', "type='application/ld+json'", "type=application/ld+json", "id=x type = 'application/ld+json' a"]
+    pages = spark.createDataFrame([(i, f"<script {k}>{body}</script>") for i, k in enumerate(kinds)], "page_id int, html string")
+    scripts = pages.select("page_id", F.regexp_extract("html", responses.LD_SCRIPT, 1).alias("js"))
+    assert {r.js for r in scripts.collect()} == {body} and scripts.count() == 4
+    wrong = spark.createDataFrame([("<script type=application/ld+jsonx>a</script>",)], "html string")
+    assert wrong.select(F.regexp_extract("html", responses.LD_SCRIPT, 1)).first()[0] == ""
