@@ -123,6 +123,8 @@ def write_shards(
     parts = spread.groupBy("part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    # Stored, one row per task, so that Spark knows it can broadcast them and leaves the ids in place.
+    parts = materialize(parts, "sequence-parts")
     count = spread.count()
 
     @F.pandas_udf("long")
