@@ -455,6 +455,20 @@ def _(spark, sf):
     return batch.audit(_with_faults(spark, sf), orders_as_of())
 
 
+@query("enr_12_batch_summary", f"""
+WITH {LISTINGS}, {_FAULTS}, keyed AS (
+  SELECT f.e1 + f.e2 + f.e3 + f.e4 + f.e5 AS n, {_STD_FP.replace('street_address',
+    'CASE WHEN l.ingest_seq % 19 <> 0 THEN street_address END')} AS fp
+  FROM listings l JOIN faulty f ON l.ingest_seq = f.ingest_seq),
+c AS (SELECT count(*) AS total, count(*) FILTER (n = 0) AS valid, count(DISTINCT fp) FILTER (n = 0) AS saved FROM keyed),
+s AS (SELECT 'validation' AS stage, total AS input_records, valid AS output_records FROM c
+  UNION ALL SELECT 'deduplication', valid, saved FROM c UNION ALL SELECT 'load', saved, saved FROM c)
+SELECT *, input_records - output_records AS dropped_records,
+  COALESCE(CAST(output_records AS DOUBLE) / NULLIF(input_records, 0), 0) AS kept_rate FROM s""")
+def _(spark, sf):
+    return batch.summary(batch.audit(_with_faults(spark, sf), orders_as_of()))
+
+
 _FIRST = f"""firsts AS (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY ingest_seq) AS rn
   FROM (SELECT *, {_STD_FP} AS fp FROM listings))"""
 

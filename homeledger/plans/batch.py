@@ -76,6 +76,25 @@ def audit(
     )
 
 
+def summary(counts: DataFrame) -> DataFrame:
+    """The audit of a batch as one row per stage: records in, out and dropped, and the share kept."""
+    valid = F.col("total_input") - F.col("invalid")
+
+    def stage(name: str, given: Column, kept: Column) -> Column:
+        rate = F.coalesce(F.try_divide(kept.cast("double"), given), F.lit(0.0))
+        return F.struct(
+            F.lit(name).alias("stage"), given.alias("input_records"), kept.alias("output_records"),
+            (given - kept).alias("dropped_records"), rate.alias("kept_rate"),
+        )
+
+    rows = [
+        stage("validation", F.col("total_input"), valid),
+        stage("deduplication", valid, F.col("processed")),
+        stage("load", F.col("processed"), F.col("processed")),
+    ]
+    return counts.select(F.inline(F.array(*rows)))
+
+
 def run(
     df: DataFrame, job_id: str, as_of: Column, output: str, state: str | None = None
 ) -> dict:
