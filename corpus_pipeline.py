@@ -13,8 +13,9 @@ from homeledger.llm import decontaminate, language, packing, pii, simhash
 from homeledger.llm.text import fold
 from homeledger.session import materialize
 
-# Documents without a letter, or whose language is less likely than this, are rejected.
-MIN_LANGUAGE_SCORE = 0.5
+# Documents without a letter, or whose likeliest language is less likely than this, are rejected. Short and
+# mixed texts in a known language score higher.
+MIN_LANGUAGE_SCORE = 0.4
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
