@@ -74,17 +74,17 @@ new AS (SELECT * FROM listings WHERE status <> 'active')
 SELECT {', '.join(CSV_COLUMNS)} FROM old UNION SELECT {', '.join(CSV_COLUMNS)} FROM new""")
 def _(spark, sf):
     df = listings(spark, sf)
-    root = scratch_path(spark, "append")
-    sinks.append_csv(df.filter("status <> 'sold'").select(*CSV_COLUMNS), None, f"{root}/v1")
+    path = scratch_path(spark, "append")
+    sinks.append_csv(df.filter("status <> 'sold'").select(*CSV_COLUMNS), path)
     more = df.filter("status <> 'active'").select(*CSV_COLUMNS)
-    sinks.append_csv(more, f"{root}/v1", f"{root}/v2")
-    return files.read_csv(spark, f"{root}/v2", more.schema)
+    sinks.append_csv(more, path)
+    return files.read_csv(spark, path, more.schema)
 
 
 @query("snk_3_save_json", _CSV_SQL)
 def _(spark, sf):
     df = _flat(spark, sf)
-    return files.read_json(spark, sinks.save_json(df, scratch_path(spark, "save")), df.schema, lines=True)
+    return files.read_json(spark, sinks.save_json(df, scratch_path(spark, "save")), df.schema)
 
 
 @query("snk_4_save_job_csv", f"""

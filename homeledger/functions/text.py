@@ -68,3 +68,20 @@ def has_any(c: Column, *words: str) -> Column:
     for w in words:
         hit = hit | c.contains(w)
     return hit
+
+
+def escape_lines(c: Column) -> Column:
+    """Text on one line: backslashes and line breaks as ``\\\\``, ``\\n`` and ``\\r``."""
+    for plain, written in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r")):
+        c = F.replace(c, F.lit(plain), F.lit(written))
+    return c
+
+
+def unescape_lines(c: Column) -> Column:
+    """Undoes :func:`escape_lines`."""
+    pairs = F.split(c, r"\\\\", -1)  # what stands between escaped backslashes
+    parts = F.transform(
+        pairs,
+        lambda p: F.replace(F.replace(p, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")),
+    )
+    return F.when(F.contains(c, F.lit("\\")), F.array_join(parts, "\\")).otherwise(c)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from homeledger.functions.text import escape_lines
 from homeledger.operators.clean import with_all_columns
-from homeledger.operators.dedup import drop_duplicate_rows
 from homeledger.sources.files import read_csv
 
 ISO_MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
@@ -30,9 +31,10 @@ def _with_suffix(path: str, suffix: str) -> str:
 
 
 def flat(df: DataFrame) -> DataFrame:
-    """Nested columns as JSON text, which is all a CSV cell can hold."""
-    nested = [f.name for f in df.schema.fields if isinstance(f.dataType, _NESTED)]
-    return df.withColumns({c: F.to_json(c) for c in nested}) if nested else df
+    """Rows as CSV can hold them: nested columns as JSON text, texts on one line."""
+    cells = {f.name: F.to_json(f.name) for f in df.schema.fields if isinstance(f.dataType, _NESTED)}
+    cells |= {f.name: F.col(f.name) for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+    return df.withColumns({c: escape_lines(x) for c, x in cells.items()}) if cells else df
 
 
 def _write_counted(df: DataFrame, write) -> int:
@@ -48,24 +50,30 @@ def save_csv(df: DataFrame, folder: str, name: str | None = None, encoding: str
     return path
 
 
-def append_csv(
-    new: DataFrame, current: str | None, target: str, deduplicate: bool = True,
-    schema: T.StructType | None = None,
-) -> int:
-    """Existing rows plus new ones, without whole-row copies, as a new version at ``target``.
+def append_csv(new: DataFrame, path: str, deduplicate: bool = True) -> int:
+    """Add rows to a CSV folder, which may not exist yet; returns the number of rows given.
 
-    The version being read is never overwritten. Returns the number of rows given.
+    Only new files are written, in one commit. With ``deduplicate`` each distinct row that
+    is not stored yet is added once; empty text counts as null, as CSV cannot tell them apart.
     """
-    given = Observation()
-    new = flat(new).observe(given, F.count(F.lit(1)).alias("rows"))
-    rows = new
-    if current is not None:
-        old = read_csv(new.sparkSession, current, schema or new.schema)
-        rows = old.unionByName(new, allowMissingColumns=True)
-        if deduplicate:
-            rows = drop_duplicate_rows(rows)
-    rows.write.options(**_CSV).csv(target, mode="error")
-    return given.get["rows"]
+    rows = flat(new)
+    if deduplicate:
+        texts = [f.name for f in rows.schema.fields if isinstance(f.dataType, T.StringType)]
+        rows = rows.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in texts}) if texts else rows
+        stored = _stored_csv(rows.sparkSession, path, rows.schema)
+        rows = rows.distinct() if stored is None else rows.subtract(flat(stored))
+    rows.write.options(**_CSV).csv(path, mode="append")
+    # Counted apart: where nothing is new, the plan that would be observed is optimised away.
+    return new.count()
+
+
+def _stored_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
+    try:
+        return read_csv(spark, path, schema)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e.getCondition()):
+            raise
+        return None
 
 
 def save_json(df: DataFrame, folder: str, name: str | None = None) -> str:

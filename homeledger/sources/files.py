@@ -3,37 +3,53 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from homeledger.functions.text import unescape_lines
 from homeledger.schema import schema_of
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = False
+) -> DataFrame:
     """CSV with a header and a declared schema (zip codes stay text, no inference pass).
 
-    Empty cells are null, also quoted ones.
+    Every line is a record, so a large file is read by many tasks; text written by our
+    sinks gets its line breaks back. ``multi_line`` is for files of others, whose quoted cells
+    hold line breaks: their text is taken as it stands, and a file is one task. Empty
+    cells are null, also quoted ones.
     """
     schema = schema_of("scraped") if schema is None else schema
-    return spark.read.schema(schema).csv(
-        path, header=True, quote='"', escape='"', multiLine=True, enforceSchema=False
+    rows = spark.read.schema(schema).csv(
+        path, header=True, quote='"', escape='"', multiLine=multi_line, enforceSchema=False
     )
+    texts = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
+    if multi_line or not texts:
+        return rows
+    return rows.withColumns({c: unescape_lines(F.col(c)) for c in texts})
 
 
 def read_json(
-    spark: SparkSession, path: str, schema: T.StructType | None = None, lines: bool = False
+    spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = False
 ) -> DataFrame:
-    """JSON records; ``lines=False`` also reads files holding one array of records."""
+    """JSON records, each on a line, or arrays of records, each on a line.
+
+    ``multi_line`` is for records or arrays spread over lines; a file is then one task.
+    """
     schema = schema_of("scraped") if schema is None else schema
-    return spark.read.schema(schema).json(path, multiLine=not lines)
+    return spark.read.schema(schema).json(path, multiLine=multi_line)
 
 
-def read_file(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_file(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = False
+) -> DataFrame:
     """CSV or JSON by suffix. Anything else raises: an empty result would hide lost input."""
     name = path.rstrip("/").lower()
     if name.endswith(".csv"):
-        return read_csv(spark, path, schema)
+        return read_csv(spark, path, schema, multi_line)
     if name.endswith(".json"):
-        return read_json(spark, path, schema)
+        return read_json(spark, path, schema, multi_line)
     raise ValueError(f"unsupported file type: {path}")
 
 

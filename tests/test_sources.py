@@ -134,18 +134,47 @@ def test_csv_and_json_round_trip(spark, scratch):
     assert sorted(map(tuple, files.read_file(spark, csv, df.schema).collect())) == [
         want[0], (2, None, None, 1.5)]
     js = sinks.save_json(df, scratch, "out")
-    assert sorted(map(tuple, files.read_json(spark, js, df.schema, lines=True).collect())) == want
+    assert sorted(map(tuple, files.read_json(spark, js, df.schema).collect())) == want
 
 
 def test_append_keeps_versions_and_counts_given_rows(spark, scratch):
     a = spark.createDataFrame([(1, "x"), (2, "y")], "id int, v string")
     b = spark.createDataFrame([(2, "y"), (3, "z"), (3, "z")], "id int, v string")
-    assert sinks.append_csv(a, None, f"{scratch}/v1") == 2
-    assert sinks.append_csv(b, f"{scratch}/v1", f"{scratch}/v2") == 3
-    assert files.read_csv(spark, f"{scratch}/v2", a.schema).count() == 3
-    assert files.read_csv(spark, f"{scratch}/v1", a.schema).count() == 2
-    sinks.append_csv(b, f"{scratch}/v1", f"{scratch}/v3", deduplicate=False)
-    assert files.read_csv(spark, f"{scratch}/v3", a.schema).count() == 5
+    path = f"{scratch}/rows"
+    assert sinks.append_csv(a, path) == 2
+    first = set(files.read_csv(spark, path, a.schema).inputFiles())
+    assert sinks.append_csv(b, path) == 3
+    stored = files.read_csv(spark, path, a.schema)
+    assert stored.count() == 3 and first <= set(stored.inputFiles())
+    assert sinks.append_csv(b, path) == 3 and files.read_csv(spark, path, a.schema).count() == 3
+    sinks.append_csv(b, path, deduplicate=False)
+    assert files.read_csv(spark, path, a.schema).count() == 6
+    odd = spark.createDataFrame([(4, 'a\nb\\n\r"q"'), (4, 'a\nb\\n\r"q"'), (5, ""), (6, None)], "id int, v string")
+    sinks.append_csv(odd, path)
+    sinks.append_csv(odd, path)
+    back = {tuple(r) for r in files.read_csv(spark, path, a.schema).filter("id > 3").collect()}
+    assert back == {(4, 'a\nb\\n\r"q"'), (5, None), (6, None)}
+    assert files.read_csv(spark, path, a.schema).count() == 9
+
+
+def test_large_files_are_split(spark, scratch):
+    df = spark.range(40_000).select("id", F.repeat(F.lit("text "), 10).alias("v")).coalesce(1)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    try:
+        for rows in (
+            files.read_csv(spark, sinks.save_csv(df, scratch, "big"), df.schema),
+            files.read_json(spark, sinks.save_json(df, scratch, "big"), df.schema),
+        ):
+            tasks = rows.select(F.spark_partition_id().alias("p")).distinct().count()
+            assert tasks > 1 and rows.count() == 40_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_records_over_lines_are_asked_for(spark, scratch):
+    spark.createDataFrame([('id,v\n1,"a\nb"\n2,c',)], "value string").coalesce(1).write.text(f"{scratch}/f.csv")
+    got = files.read_file(spark, f"{scratch}/f.csv", schema=files.T.StructType.fromDDL("id int, v string"), multi_line=True)
+    assert {tuple(r) for r in got.collect()} == {(1, "a\nb"), (2, "c")}
 
 
 def test_job_output_and_typed_table(spark, scratch):
