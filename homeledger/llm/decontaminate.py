@@ -19,7 +19,7 @@ COVERAGE = 0.5  # share of a test item; what texts share by chance stays well be
 FILTER_BITS = 1 << 24
 WORD = re.compile(r"\w+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000
 
 _known: dict[str, int] = {}
 

@@ -177,7 +177,8 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
         for batch in batches:
             for text, lang, turn in zip(*(c.to_pylist() for c in batch.columns)):
                 at, count = np.unique(grams(text), return_counts=True)
-                row = (at.astype(np.int64), count * (SCALE / count.sum()) * scale[at], labels[lang])
+                value = count * (SCALE / count.sum()) * scale[at]
+                row = (at.astype(np.int32), value.astype(np.float32), labels[lang])
                 (held if turn % CALIBRATION_SHARE == 0 else rows).append(row)
         weights, bias = train(rows, len(labels))
         logits = np.array([value @ weights[at] + bias for at, value, _ in held]).reshape(len(held), len(labels))
