@@ -555,7 +555,19 @@ def _(spark, sf):
 # --- generic selectors over the given pages -------------------------------------------------------
 
 
-@query("ext_1_select_text")
+def _s_text(pattern: str) -> str:
+    """Text of the given pages' element that a pattern finds, character references resolved."""
+    text = s_group("html", pattern)
+    for ref, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&amp;", "&")):
+        text = f"replace({text}, '{ref}', '{char}')"
+    return s_strip(text)
+
+
+@query("ext_1_select_text", f"""
+SELECT page_id, url, {_s_text('<title>([^<]*)</title>')} AS title,
+  {_s_text('<article><h1>([^<]*)</h1>')} AS heading,
+  {_s_text('<nav><ul><li><a href="[^"]*">([^<]*)</a>')} AS menu,
+  {_s_text('<div class="ad">([^<]*)</div>')} AS ad, CAST(NULL AS VARCHAR) AS absent FROM pages""")
 def _(spark, sf):
     return select_fields(table(spark, sf, "pages"), {
         "title": Pick("title"), "heading": Pick("article h1"), "menu": Pick("nav ul li a"),
