@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from homeledger.llm import tokens
-from homeledger.session import ship_package
+from homeledger.session import materialize, ship_package
 
 BUCKET = 1024
 
@@ -40,8 +40,10 @@ def length_table(hist: DataFrame) -> DataFrame:
     ``quantile`` (share of documents of at most this length). An empty histogram gives no rows.
 
     The sums run in two levels, over buckets of lengths and within a bucket, so no task holds
-    more lengths than one bucket has, or more buckets than the longest document needs.
+    more lengths than one bucket has, or more buckets than the longest document needs. The histogram
+    is stored first (an action), as its rows are read more than once.
     """
+    hist = materialize(hist, "length-histogram")
     hist = hist.withColumn("_b", F.floor(F.col("n_tokens") / BUCKET)).withColumn(
         "_t", F.col("n_tokens") * F.col("docs")
     )
