@@ -102,6 +102,31 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+ORACLE["op10_line_rules"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, regexp_extract_all(text, '[^ \t-\r]+') AS w FROM d),
+x AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
+g AS (SELECT r, i, [x, lead(x, 1) OVER o, lead(x, 2) OVER o, lead(x, 3) OVER o, lead(x, 4) OVER o] AS k
+  FROM x WINDOW o AS (PARTITION BY r ORDER BY i)),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS n FROM g WHERE k[5] IS NOT NULL)
+  WHERE n > 1),
+covered AS (SELECT r, sum(least(5, coalesce(next - i, 5))) AS n FROM (SELECT r, i,
+  lead(i) OVER (PARTITION BY r ORDER BY i) AS next FROM again) GROUP BY r),
+lines AS (SELECT r, source, l, trim(regexp_replace(lower(l), '[ \t-\r]+', ' ', 'g')) AS nl
+  FROM (SELECT r, source, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^ \t-\r]')),
+dup AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM lines GROUP BY r),
+common AS (SELECT source, nl FROM lines GROUP BY source, nl HAVING count(DISTINCT r) > 100),
+removed AS (SELECT l.r, sum(len(string_split(l.nl, ' '))) AS n FROM lines l JOIN common c
+  ON l.nl = c.nl AND l.source IS NOT DISTINCT FROM c.source GROUP BY l.r),
+c AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
+  CAST(coalesce(list_sum(list_transform(w, lambda v: length(v))), 0) AS BIGINT) AS word_chars,
+  CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words,
+  CAST(coalesce(removed.n, 0) AS BIGINT) AS common_words
+  FROM d JOIN w USING (r) LEFT JOIN dup USING (r) LEFT JOIN covered USING (r) LEFT JOIN removed USING (r)),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c)
+SELECT *, NOT base_failed AND n_words - common_words >= 0.2 * n_words AS kept FROM f"""
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
