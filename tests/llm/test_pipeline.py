@@ -61,3 +61,13 @@ def test_registered():
     for n in range(1, 11):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
     assert tokens.EOS == 1 and "homeledger.llm" in sys.modules
+
+
+def test_stages_on_edges(spark, edge, empty):
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, DATA).count() == 0, name
+        out = stage(spark, edge, DATA)
+        if name == "packing":
+            assert out.count() >= edge.count()
+        else:
+            assert out.columns == edge.columns and 0 < out.count() <= edge.count(), name
