@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from homeledger.llm import decontaminate, language, packing, pii, simhash
+from homeledger.llm import decontaminate, language, nearcopies, packing, pii, simhash
 from homeledger.llm.text import fold
 from homeledger.session import materialize
 
@@ -31,6 +31,14 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return simhash.deduplicate(docs)
 
 
+def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops what shares four fifths of its five-word shingles with a document that stays.
+
+    Such copies mostly differ in more bits than a SimHash group allows.
+    """
+    return nearcopies.drop_near_copies(docs)
+
+
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a test item of the benchmark."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -49,6 +57,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [
     ("language", language_stage),
     ("near_duplicates", near_duplicate_stage),
+    ("near_copies", near_copy_stage),
     ("decontamination", decontamination_stage),
     ("personal_data", personal_data_stage),
     ("packing", packing_stage),
