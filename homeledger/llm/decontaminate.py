@@ -157,7 +157,8 @@ def contaminated(
     Seeds are runs of ``min_tile`` words. One pass over the documents keeps the words under
     seeds that a bit array of the benchmark's seeds lets through (``filter_bits``, a fixed
     size; false hits only cost work). Those seeds are then joined with the benchmark's, pairs
-    whose shared seeds cannot reach the coverage are dropped, and the rest are tiled.
+    whose shared seeds cannot reach the coverage, each counted at all its places in the item, are
+    dropped, and the rest are tiled.
 
     Null and empty texts match nothing, nor do items of fewer than ``min_tile`` words. Repeated
     rows of documents or items give one row. Other columns are not read.
@@ -172,14 +173,15 @@ def contaminated(
     def item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for item, words in zip(batch.column(0), batch.column(1)):
-                seeds = np.unique(rolling(np.array(words.as_py(), np.int64).view(np.uint64), min_tile))
+                grams = rolling(np.array(words.as_py(), np.int64).view(np.uint64), min_tile)
+                seeds, places = np.unique(grams, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([item.as_py()] * len(seeds), pa.int64()), pa.array(seeds.view(np.int64))],
-                    names=["item", "seed"],
+                    [pa.array([item.as_py()] * len(seeds), pa.int64()), pa.array(seeds.view(np.int64)), pa.array(places)],
+                    names=["item", "seed", "places"],
                 )
 
     seeds = materialize(
-        items.select("item", "words").mapInArrow(item_seeds, "item long, seed long"), "tiling-seeds"
+        items.select("item", "words").mapInArrow(item_seeds, "item long, seed long, places long"), "tiling-seeds"
     )
     sieve = spark.sparkContext.broadcast(_seed_filter(seeds.select("seed").distinct(), filter_bits))
 
@@ -215,13 +217,14 @@ def contaminated(
         ),
         "tiling-hits",
     )
+    # Every covered word lies under a shared seed, and a place of a seed covers min_tile words.
     reach = items.select("item", (F.size("words") * coverage / min_tile).alias("need"))
     pairs = (
         hits.select("key", F.explode("seeds").alias("seed"))
         .distinct()
         .join(seeds, "seed")
         .groupBy("key", "item")
-        .agg(F.count("*").alias("n"))
+        .agg(F.sum("places").alias("n"))
         .join(reach, "item")
         .filter("n >= need")
         .select("key", "item")

@@ -88,6 +88,17 @@ def test_planted_passages(spark):
     assert {(r.doc_id, r.item_id) for r in small.collect()} == got
 
 
+def test_items_that_repeat_themselves(spark):
+    """Copies whose distinct seeds are fewer than a tenth of the item's words."""
+    rng = random.Random(9)
+    items = ["a b c d e " * 12, "row one two three four five\n" * 30, prose(rng, 20) + " x y" * 60, prose(rng, 40)]
+    docs = [(i, f"{prose(rng, 30)} {t} {prose(rng, 30)}", "en", "s", 0) for i, t in enumerate(items)]
+    docs.append((9, "a b c d e f " + prose(rng, 50), "en", "s", 0))
+    found = d.contaminated(spark.createDataFrame(docs, DOCUMENTS), items_of(spark, items)).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(i, i) for i in range(4)]
+    assert all(r.coverage == 1 for r in found)
+
+
 def test_edges(spark, edge, empty):
     bench = items_of(spark, ["1 1 1 1 1 1", "same line same line same line other", "nothing of the kind is in here"])
     bench = bench.select("*", F.lit(1).alias("key"), F.lit(1).alias("words"))
