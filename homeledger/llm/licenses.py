@@ -62,7 +62,30 @@ CC_PARTS = (
     ("cc-by-nc-nd", "by nc nd", "attribution non ?commercial no ?deriv(?:ative)?s"),
 )
 VERSION = "(?:version |ver |v ?|version v ?)?"
-ANCHORS = ("license", "licence", "licensed", "spdx", "cc", "creative", "cc0", "unlicense")
+NOUNS = ("license", "licence", "licenses", "licences")
+GRANTED_UNDER = "(?:released|distributed|available|provided|published|covered|licen[cs]ed) under (?:the )?(?:terms of )?(?:the )?"
+# Bodies and headers that need not name a license: label, anchor, keyword, before, after.
+BODIES = (
+    ("mit", "granted", "charge", "permission is hereby", "free of charge to any person obtaining a copy"),
+    ("boost", "granted", "organization", "permission is hereby", "free of charge to any person or organization"),
+    ("isc", "granted", "fee", "this software for any purpose with or without fee is hereby", ""),
+    ("bsd", "redistribution", "binary", "", "and use in source and binary forms"),
+    ("zlib", "warranty", "provided", "this software is provided as is without any express or implied", ""),
+    ("unlicense", "unencumbered", "software", "this is free and", "software released into the public domain"),
+    ("wtfpl", "fuck", "want", "you just do what the", "you want to"),
+)
+# Names that are words of their own after "released under"; those of SURE mean a license anywhere.
+BARE = {"mit": "mit", "apache": "apache", "bsd": "bsd", "isc": "isc", "zlib": "zlib", "unlicense": "unlicense"}
+SURE = {"gpl": "gpl", "lgpl": "lgpl", "agpl": "agpl", "mpl": "mpl", "epl": "epl", "cddl": "cddl", "eupl": "eupl",
+        "wtfpl": "wtfpl"}
+SURE_WORDS = {
+    f"{word}{v}{version[0]}" if version else word: word
+    for label, word in SURE.items() for version in ("", *{f[0]: f[4] for f in FAMILIES}[label]) for v in ("v", "")
+}
+ANCHORS = (
+    *NOUNS, "licensed", "spdx", "cc", "creative", "cc0", "unlicense", *sorted({b[1] for b in BODIES}),
+    *sorted({*BARE.values(), *SURE_WORDS} - {"unlicense"}),
+)
 RULE = "rule int, priority int, anchor string, keyword string, before string, after string, label string, score double"
 
 
@@ -87,11 +110,22 @@ def rules() -> list[tuple]:
             add(20 + rank, "licensed", keyword, "",
                 f"under (?:the )?(?:terms of )?(?:the )?{name}(?: public)?(?: licen[cs]e)?{tail.replace(' ', ',? ', 1) or ''}",
                 full, 0.95)
-            for anchor in ("license", "licence"):
-                add(30 + rank, anchor, keyword,
-                    f"(?:released|distributed|available|provided|published|covered|licensed) under (?:the )?"
-                    f"(?:terms of )?(?:the )?{name}", tail.strip(), full, 0.95)
+            named = name if version is None else f"{name} ?{VERSION}{version}"
+            for anchor in NOUNS:
+                add(30 + rank, anchor, keyword, f"{GRANTED_UNDER}{name}", tail.strip(), full, 0.95)
                 add(40 + rank, anchor, keyword, name, tail.strip(), full, 0.8)
+                if version is not None:
+                    add(30, anchor, keyword, f"{GRANTED_UNDER}{named}", "", full, 0.95)
+                    add(40, anchor, keyword, named, "", full, 0.8)
+            add(40 + rank, "licensed", keyword, named, "", full, 0.8)
+            if label in BARE:
+                add(50 + rank, BARE[label], "under", GRANTED_UNDER.replace("under ", "under").replace("(?:the )?", "(?: the)?").replace("(?:terms of )?", "(?: terms of)?"),
+                    tail.strip(), full, 0.8)
+            if label in SURE:
+                add(60 + rank, SURE[label], "", "", tail.strip(), full, 0.6)
+                if version is not None:
+                    for v in ("v", ""):
+                        add(60, f"{SURE[label]}{v}{version[0]}", "", "", version[2:], full, 0.6)
     for label, short, long in CC_PARTS:
         for version in ("4 0", "3 0", "2 5", "2 0", None):
             full = label if version is None else f"{label}-{version.replace(' ', '.')}"
@@ -105,8 +139,10 @@ def rules() -> list[tuple]:
     add(20, "creative", "zero", "", "commons (?:cc0|zero)", "cc0", 0.9)
     add(30, "unlicense", "", "(?:under|the)(?: the)?", "", "unlicense", 0.7)
     for label, count in (("bsd-2-clause", "2|two"), ("bsd-3-clause", "3|three"), ("bsd-4-clause", "4|four")):
-        for anchor in ("license", "licence"):
+        for anchor in NOUNS:
             add(15, anchor, "clause", f"(?:(?:{count}) clause bsd|bsd (?:{count}) clause)", "", label, 0.95)
+    for label, anchor, keyword, before, after in BODIES:
+        add(25, anchor, keyword, before, after, label, 0.9)
     return out
 
 
@@ -152,10 +188,18 @@ def detections(docs: DataFrame) -> DataFrame:
     low = docs.select(row_key().alias("key"), F.lower(F.col("text").cast("string")).alias("low"))
     gate = F.contains("low", F.lit("licen")) | F.contains("low", F.lit("spdx")) | F.contains("low", F.lit("creative"))
     gate = gate | F.contains("low", F.lit("unlicense")) | (F.contains("low", F.lit("cc")) & F.col("low").rlike(r"\bcc(?:0\b|\W+by\b)"))
+    for word in sorted({*SURE.values(), *(b[1] for b in BODIES)}):
+        gate = gate | F.contains("low", F.lit(word))
+    bare = r"\bunder\W+(?:(?:the|terms|of)\W+){0,4}(?:" + "|".join(BARE.values()) + r")\b"
+    gate = gate | (F.contains("low", F.lit("under")) & F.col("low").rlike(bare))
     words = low.filter(gate).select("key", F.split(F.trim(F.regexp_replace("low", NOT_WORD, " ")), " ").alias("w"))
     places = F.filter(
         F.transform("w", lambda w, i: F.struct(w.alias("anchor"), i.alias("at"))), lambda x: x.anchor.isin(*ANCHORS)
     )
+    # Names that are common words too ("mit") count shortly after "under" only.
+    places = F.filter(places, lambda x: ~x.anchor.isin(*BARE.values()) | (x.anchor == "unlicense") | F.array_contains(
+        F.slice("w", F.greatest(x["at"] - 5, F.lit(0)) + 1, F.least(x["at"], F.lit(5))), "under"
+    ))
     hits = words.select("key", "w", places.alias("p")).filter(F.size("p") > 0).select(
         "key",
         F.inline(F.transform("p", lambda x: F.struct(

@@ -59,6 +59,26 @@ def test_rules(spark, text, labels):
     assert (row.score > 0) == bool(labels) and 0 <= row.score <= 1
 
 
+OTHER_FORMS = [
+    ("Redistribution and use in source and binary forms, with or without modification, are permitted", "bsd"),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "mit"),
+    ("Permission is hereby granted, free of charge, to any person or organization obtaining a copy", "boost"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+     "granted, provided that", "isc"),
+    ("This software is provided 'as-is', without any express or implied warranty. In no event", "zlib"),
+    ("This is free and unencumbered software released into the public domain.", "unlicense"),
+    ("released under Apache 2.0", "apache-2"), ("GPLv3", "gpl-3"), ("see LGPLv2.1 there", "lgpl-2.1"), ("the MPL 2.0 text", "mpl-2"),
+    ("Apache 2.0 License", "apache-2"), ("GPLv3 License", "gpl-3"), ("GPL v3 license", "gpl-3"), ("MIT licensed", "mit"),
+    ("the MIT and Apache licenses", "apache"), ("distributed under the MIT", "mit"), ("code under BSD 3-Clause licenses", "bsd-3-clause"),
+    ("Permission was granted to enter, under protest mit Freunden und Apache helicopters, no warranty", ""),
+]
+
+
+def test_bodies_and_names(spark):
+    rows = scan(spark, [t for t, _ in OTHER_FORMS])
+    assert [(t, r.labels) for (t, _), r in zip(OTHER_FORMS, rows)] == OTHER_FORMS
+
+
 def test_contained_finds_are_suppressed(spark):
     df = spark.createDataFrame([(1, "licensed under the gnu lesser general public license version 3", "en", "s", 0)], DOCUMENTS)
     assert [(r.label, r.start, r.end) for r in licenses.detections(df).collect()] == [("lgpl-3", 0, 10)]
