@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from datetime import date
 
@@ -30,8 +30,22 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 
-SECRET = re.compile(
-    r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])|gh[pousr]_[A-Za-z0-9]{20,}"
+# Forms that only secrets have; a key block without its end is its header and the full lines after it.
+KEY_BLOCK = r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----"
+KNOWN = re.compile(
+    r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_-]{20,}"
+    r"|(?<![0-9A-Za-z_-])(?:sk|pk|rk)[-_][A-Za-z0-9_-]{20,}|(?<![0-9A-Za-z])xox[abeoprs]-[A-Za-z0-9-]{10,}"
+    r"|AIza[0-9A-Za-z_-]{35}|(?<![0-9A-Za-z_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*"
+    rf"|{KEY_BLOCK}(?:[^-]|-(?!----))*+{KEY_BLOCK.replace('BEGIN', 'END')}|{KEY_BLOCK}(?:\s{{1,2}}[A-Za-z0-9+/=]{{40,}})*+"
+)
+HEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-Fa-f]{32,64})(?![0-9A-Za-z])")
+# What a text itself calls a key or a password.
+SECRET_WORDS = ("key", "token", "secret", "passw", "pwd", "clave", "contrase", "mot de passe")
+GIVEN = re.compile(
+    r"(?:key|token|secret|(passw(?:or[dt]|d)|pwd|contraseña|mot de passe)|clave)s?[\"'`]?"
+    r"(?:\s{0,3}(?::=|=>|[:=])\s{0,3}|\s{1,3}(?:is|was|ist|lautet|es|est)\s{1,3}|\s{1,3}(?=[\"'`]?\S*[0-9]))[\"'`]?"
+    r"([^\s\"'`<>,;(){}\[\]]{6,})",
+    re.IGNORECASE,
 )
 NUMBER = re.compile(r"(?<![0-9A-Za-z])\(?[0-9]++(?:[ ()./-]{1,2}[0-9]++){2,3}(?![0-9A-Za-z])")
 SSN = re.compile(r"([0-9]{3})-([0-9]{2})-([0-9]{4})")
@@ -40,11 +54,22 @@ LOCAL_PHONE = re.compile(r"(?:\(([0-9]{3})\) |([0-9]{3})[ .-])[0-9]{3}[ .-][0-9]
 NAME = re.compile(
     r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? [A-Z][a-zà-ÿ]+(?: [A-Z][a-zà-ÿ]+)?"
 )
+OPAQUE = re.compile(r"[0-9]|[a-z][A-Z]")
 
 # Gazetteer: fixed words of our own choice.
 FIRST_NAMES = frozenset(
     "anna anne antonio carlos carmen charles claire david elizabeth emma hans heinrich isabel james jean john jose "
-    "juan julia karl laura louis lucia maria marie martin mary michael paul peter pierre robert sarah sophie thomas".split()
+    "juan julia karl laura louis lucia maria marie martin mary michael paul peter pierre robert sarah sophie thomas "
+    "josé lucía maría".split()
+)
+FULL_NAME = re.compile(
+    rf"\b(?:{'|'.join(sorted(map(str.title, FIRST_NAMES), key=len, reverse=True))})"
+    r"(?:[ -][A-ZÀ-Þ](?:\.|[a-zà-ÿ]+))?(?: (?:van|von|de|del|la|der|den|du))* [A-ZÀ-Þ][a-zà-ÿ]+(?:-[A-ZÀ-Þ][a-zà-ÿ]+)?"
+)
+# Words that make a place of the first name before them.
+PLACES = frozenset(
+    "avenue bridge church college hospital hotel island lake park river road school square station street strasse "
+    "straße tower university".split()
 )
 TOP_DOMAINS = frozenset("com org net edu gov info io de fr es uk eu us ca ch at it nl".split())
 RESERVED_NETS = ("0.", "127.", "255.")
@@ -115,13 +140,28 @@ def _calendar(parts: tuple) -> bool:
 def extra_spans(text: str) -> list[Span]:
     """Candidates of the other kinds, most of which some labeler has to speak for."""
     out: list[Span] = []
+    secrets = {(m.start(), m.end()) for m in KNOWN.finditer(text) if OPAQUE.search(m[0])}
+    secrets |= {(m.start(), m.end()) for m in HEX.finditer(text)}
+    low = text.lower()
+    if any(word in low for word in SECRET_WORDS):
+        for m in GIVEN.finditer(text):
+            found = m[2].rstrip(".:!?")
+            # A plain word is no secret, unless a password is set to it.
+            if len(found) >= (8, 6)[bool(m[1])] and (OPAQUE.search(found) or m[1] and re.search("[:=]", m[0][: -len(m[2])])):
+                secrets.add((m.start(2), m.start(2) + len(found)))
+    out += [(a, 4, b) for a, b in sorted(secrets)]
     if DIGIT.search(text):
-        out += [(m.start(), 4, m.end()) for m in SECRET.finditer(text)]
         for m in NUMBER.finditer(text):
             for kind, form in ((5, SSN), (6, DATE), (8, LOCAL_PHONE)):
                 if form.fullmatch(m[0]):
                     out.append((m.start(), kind, m.end()))
-    out += [(m.start(), 7, m.end()) for m in NAME.finditer(text)]
+    titled = [m.span() for m in NAME.finditer(text)]
+    ends = [b for _, b in titled]
+    for a, b in (m.span() for m in FULL_NAME.finditer(text)):
+        at = bisect_right(ends, a)  # the first titled name that ends behind its start
+        if at == len(titled) or titled[at][0] >= b:
+            out.append((a, 7, b))
+    out += [(a, 7, b) for a, b in titled]
     return out
 
 
@@ -142,14 +182,18 @@ def votes(text: str, span: Span) -> list[int]:
         form = 1 if kind == "phone" else 0
     elif kind == "secret":
         # Bare hexadecimal strings may be checksums; what stands before them has to decide.
-        gazetteer = form = 1 if found.startswith(("AKIA", "gh")) else 0
+        gazetteer = form = 1 if KNOWN.match(found) else 0
     elif kind == "ssn":
         area, group, serial = SSN.fullmatch(found).groups()
         form = -1 if area in ("000", "666") or area[0] == "9" or group == "00" or serial == "0000" else 1
     elif kind == "birth":
         form = 0 if _calendar(DATE.fullmatch(found).groups()) else -1
     elif kind == "name":
-        form, gazetteer = 1, 1 if found.split()[1].lower() in FIRST_NAMES else 0
+        if NAME.match(found):
+            form, gazetteer = 1, 1 if found.split()[1].lower() in FIRST_NAMES else 0
+        else:
+            form = gazetteer = -1 if found.split()[-1].lower() in PLACES else 0
+            gazetteer = gazetteer or 1
     context = -1 if AGAINST.search(before) else 1 if FOR[kind].search(before) else 0
     same = len(set(found) - set(" ().-")) <= 2
     return [form, gazetteer, context, -1 if same else 1 if kind == "card" or form and kind == "secret" else 0]
