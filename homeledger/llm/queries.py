@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from homeledger.llm import (
-    decontaminate, language, lengths, licenses, linerules, packing, pii, quality, shards, simhash,
+    decontaminate, language, lengths, licenses, linerules, merkle, mixing, packing, periodic, pii, quality, shards,
+    simhash,
 )
 from homeledger.llm.text import documents, fold
 from homeledger.session import scratch_path
@@ -127,6 +128,86 @@ c AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
 f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c)
 SELECT *, NOT base_failed AND n_words - common_words >= 0.2 * n_words AS kept FROM f"""
 
+def periodic_texts(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``, where every tenth id's text ends in a repetition of some of its own words.
+
+    Ids are drawn by their crc32; a missing id has none, and its text stays.
+    """
+    text = F.col("text").cast("string")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.floor(h / 10).cast("long").alias("g"),
+        F.when(h % 10 == 0, F.array_remove(F.split(text, mixing.SPACE), "")).alias("w"),
+    )
+    n = F.size("w").cast("long")
+    first = words.withColumn("a", F.when(n > 0, F.col("g") % n))
+    period = 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)).cast("long")
+    again = F.transform(
+        "w",
+        lambda w, i: F.when(i < F.col("a"), w).otherwise(
+            F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))
+        ),
+    )
+    return first.withColumn("p", period).select(
+        "doc_id", F.when(F.col("a").isNotNull(), F.array_join(again, " ")).otherwise(F.col("text")).alias("text")
+    )
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(periodic_texts(documents(spark, sf_dir)))
+    line = lambda r: F.concat_ws(",", r.start, r.length, r.period)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "strongest.start", "strongest.length",
+        "strongest.period", F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words",
+    )
+
+
+@query("op12_mix_sources")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select(
+        "doc_id", "size", "source_size", "target", "taken", "source", "start"
+    )
+
+
+ORACLE["op12_mix_sources"] = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+')) AS BIGINT) AS size,
+  CAST('0x' || substr(md5('12:' || coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || coalesce(text, '')), 1, 15)
+    AS BIGINT) AS key FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+r AS (SELECT *, CAST(2 * source_size AS DOUBLE) AS cap, CAST(CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3
+  WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS DOUBLE) AS weight FROM s),
+w AS (SELECT *, (1.5 * (SELECT sum(source_size) FROM r) - coalesce(sum(cap) OVER (ORDER BY cap / weight, source
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) / sum(weight) OVER (ORDER BY cap / weight, source
+    ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
+l AS (SELECT max(level) AS level FROM w), -- capping a source below the level raises it, any other lowers it
+t AS (SELECT r.source, r.source_size, CASE WHEN cap <= l.level * weight THEN cap ELSE l.level * weight END AS target
+  FROM r, l),
+o AS (SELECT d.*, CAST(coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM d),
+b AS (SELECT o.*, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS budget,
+  CASE WHEN t.source_size > 0 THEN CAST(floor(t.target) AS BIGINT) // t.source_size ELSE 0 END AS whole
+  FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+  CAST(whole * size + greatest(0, least(size, budget - whole * source_size - start)) AS BIGINT) AS taken, source, start
+FROM b"""
+
+
+@query("op13_merkle_manifest")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    fields = {c: F.col(c) for c in merkle.FIELDS}
+    # Every third id's text is found in lower case later.
+    lower = F.translate(F.col("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    changed = F.when(third, merkle.leaf(list((fields | {"text": lower}).values())))
+    return merkle.manifest(docs, claimed=changed).select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified", "n_siblings"
+    )
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -58,7 +58,7 @@ def test_run_packs_what_is_left(spark):
 def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
     assert tokens.EOS == 1 and "homeledger.llm" in sys.modules
 
