@@ -30,11 +30,17 @@ def _with_suffix(path: str, suffix: str) -> str:
     return path if path.endswith(suffix) else path + suffix
 
 
-def flat(df: DataFrame) -> DataFrame:
-    """Rows as CSV can hold them: nested columns as JSON text, texts on one line."""
+def flat(df: DataFrame, one_line: bool = False) -> DataFrame:
+    """Rows as CSV can hold them: nested columns as JSON text.
+
+    ``one_line`` writes line breaks and backslashes in texts as escapes, for readers that take every line
+    as a record; such files are read back with ``read_csv(..., one_line=True)``.
+    """
     cells = {f.name: F.to_json(f.name) for f in df.schema.fields if isinstance(f.dataType, _NESTED)}
-    cells |= {f.name: F.col(f.name) for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
-    return df.withColumns({c: escape_lines(x) for c, x in cells.items()}) if cells else df
+    if one_line:
+        cells |= {f.name: F.col(f.name) for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+        cells = {c: escape_lines(x) for c, x in cells.items()}
+    return df.withColumns(cells) if cells else df
 
 
 def _write_counted(df: DataFrame, write) -> int:
@@ -44,9 +50,12 @@ def _write_counted(df: DataFrame, write) -> int:
     return seen.get["rows"]
 
 
-def save_csv(df: DataFrame, folder: str, name: str | None = None, encoding: str = "utf-8") -> str:
+def save_csv(
+    df: DataFrame, folder: str, name: str | None = None, encoding: str = "utf-8", one_line: bool = False
+) -> str:
+    """Texts are quoted where needed and stand as they are; see :func:`flat` for ``one_line``."""
     path = _with_suffix(f"{folder}/{name or default_name()}", ".csv")
-    flat(df).write.options(**_CSV).csv(path, encoding=encoding, mode="overwrite")
+    flat(df, one_line).write.options(**_CSV).csv(path, encoding=encoding, mode="overwrite")
     return path
 
 

@@ -1,12 +1,18 @@
 """Page extraction, responses and file round trips on small hand-made inputs."""
 
+import csv
+import glob
+import json
+import os
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from homeledger.schema import schema_of
 from homeledger.sinks import files as sinks
 from homeledger.sinks import fingerprints
-from homeledger.sources import files, responses, sites
+from homeledger.sources import files, records, responses, sites
 from homeledger.sources.html import Pick, parse, pick, select_fields
 from homeledger.sources.registry import Sources, cap_per_search
 
@@ -171,10 +177,86 @@ def test_large_files_are_split(spark, scratch):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
-def test_records_over_lines_are_asked_for(spark, scratch):
-    spark.createDataFrame([('id,v\n1,"a\nb"\n2,c',)], "value string").coalesce(1).write.text(f"{scratch}/f.csv")
-    got = files.read_file(spark, f"{scratch}/f.csv", schema=files.T.StructType.fromDDL("id int, v string"), multi_line=True)
-    assert {tuple(r) for r in got.collect()} == {(1, "a\nb"), (2, "c")}
+@pytest.fixture
+def small_ranges(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+CELLS = ["", "plain", 'a "quoted" word', "line\nbreak", "two\n\nbreaks\n", "comma, comma", '"', '""', "C:\\new folder", "x" * 700,
+         '12" pipe', "a\n\"b\",\n\"", ",", "é中\n😀", "\\", "tab\t", " outer "]
+
+
+def test_quoted_line_breaks_over_byte_ranges(spark, scratch, small_ranges):
+    """Files of others, as the standard writer leaves them, cut anywhere."""
+    rng = random.Random(3)
+    want = []
+    os.makedirs(f"{scratch}/f.csv")
+    for k, end in enumerate(["\n", "\r\n", "\n"]):
+        rows = [(str(1000 * k + i), rng.choice(CELLS), rng.choice(CELLS)) for i in range(120)]
+        with open(f"{scratch}/f.csv/{k}.csv", "w", newline="") as out:
+            writer = csv.writer(out, lineterminator=end)
+            writer.writerow(["id", "a", "b"])
+            writer.writerows(rows)
+        want += [(int(i), a or None, b or None) for i, a, b in rows]
+    schema = files.T.StructType.fromDDL("id int, a string, b string")
+    got = files.read_file(spark, f"{scratch}/f.csv", schema)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    text = records.lines(spark, f"{scratch}/f.csv")
+    assert text.select("file", "start").distinct().count() > 20 and records.csv_breaks(text)
+    with pytest.raises(ValueError, match="header"):
+        files.read_csv(spark, f"{scratch}/f.csv", files.T.StructType.fromDDL("id int, a string, c string"))
+
+
+def test_stray_quotes_are_no_line_breaks(spark, scratch):
+    spark.createDataFrame([('id,v\n1,12" pipe\n2,6" pipe\n3,"a ""b"""',)], "value string").coalesce(1).write.text(f"{scratch}/f.csv")
+    assert not records.csv_breaks(records.lines(spark, f"{scratch}/f.csv"))
+    got = files.read_csv(spark, f"{scratch}/f.csv", files.T.StructType.fromDDL("id int, v string"))
+    assert {tuple(r) for r in got.collect()} == {(1, '12" pipe'), (2, '6" pipe'), (3, 'a "b"')}
+
+
+@pytest.mark.parametrize("indent", [None, 2, "\t"])
+@pytest.mark.parametrize("shape", ["array", "objects", "arrays"])
+def test_json_over_lines_and_byte_ranges(spark, scratch, small_ranges, indent, shape):
+    rng = random.Random(4)
+    rows = [{"id": i, "v": rng.choice(CELLS) + '}{][\\" ', "tags": [{"k": "]}"}] * rng.randrange(3)} for i in range(150)]
+    os.makedirs(f"{scratch}/f.json")
+    with open(f"{scratch}/f.json/a.json", "w") as out:
+        if shape == "array":
+            json.dump(rows, out, indent=indent, ensure_ascii=False)
+        elif shape == "objects":
+            out.write("\n".join(json.dumps(r, indent=indent) for r in rows))
+        else:
+            out.write("\n".join(json.dumps(rows[i : i + 7], indent=indent) for i in range(0, 150, 7)))
+    schema = files.T.StructType.fromDDL("id int, v string, tags array<struct<k string>>")
+    got = files.read_json(spark, f"{scratch}/f.json", schema, mode="FAILFAST")
+    have = [{"id": r.id, "v": r.v, "tags": [{"k": t.k} for t in r.tags]} for r in got.collect()]
+    assert sorted(have, key=lambda r: r["id"]) == rows
+    if indent:
+        assert records.lines(spark, f"{scratch}/f.json").select("start").distinct().count() > 20
+
+
+def test_text_that_is_no_json(spark, scratch):
+    spark.createDataFrame([('{"id": 1}\n{"id": \n',)], "value string").coalesce(1).write.text(f"{scratch}/f.json")
+    schema = files.T.StructType.fromDDL("id int")
+    assert sorted(r.id or 0 for r in files.read_json(spark, f"{scratch}/f.json", schema).collect()) == [0, 1]
+    with pytest.raises(Exception, match="MALFORMED"):
+        files.read_json(spark, f"{scratch}/f.json", schema, mode="FAILFAST").collect()
+
+
+def test_other_readers_get_the_same_text(spark, scratch):
+    rows = [(i, c) for i, c in enumerate(CELLS) if c]
+    df = spark.createDataFrame(rows, "id int, v string")
+    folder = sinks.save_csv(df, scratch, "plain")
+    found = []
+    for name in glob.glob(f"{folder}/*.csv"):
+        with open(name, newline="") as part:
+            found += [(int(i), v) for i, v in list(csv.reader(part))[1:]]
+    assert sorted(found) == rows
+    lines = sinks.save_csv(df, scratch, "lines", one_line=True)
+    assert not records.csv_breaks(records.lines(spark, lines))
+    assert sorted(map(tuple, files.read_csv(spark, lines, df.schema, one_line=True).collect())) == rows
 
 
 def test_job_output_and_typed_table(spark, scratch):
