@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from homeledger.llm.text import row_key
@@ -16,8 +16,16 @@ from homeledger.session import materialize, ship_package
 
 MIN_TILE = 5
 COVERAGE = 0.5  # share of a test item; what texts share by chance stays well below it
-FILTER_BITS = 1 << 24
+BITS_PER_SEED = 16  # of the bit array, as far as its largest size goes
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 WORD = re.compile(r"\w+")
+# Letters of scripts written without spaces are words of their own (code blocks; fixed values).
+UNSPACED = (
+    "\u0e00-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+    "\U00020000-\U0003ffff"
+)
+ANY_UNSPACED = re.compile(f"[{UNSPACED}]")
+MIXED_WORD = re.compile(f"[{UNSPACED}]|(?:(?![{UNSPACED}])\\w)+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 CACHED_WORDS = 200_000
 
@@ -25,11 +33,15 @@ _known: dict[str, int] = {}
 
 
 def word_hashes(text: str | None) -> np.ndarray:
-    """64-bit hashes of the words (letters, digits, underscore) of a lower-cased text."""
+    """64-bit hashes of the words (letters, digits, underscore) of a lower-cased text.
+
+    In scripts written without spaces every letter is a word.
+    """
     if len(_known) > CACHED_WORDS:
         _known.clear()
-    out = []
-    for word in WORD.findall(text.lower()) if text else ():
+    out, low = [], text.lower() if text else ""
+    pattern = WORD if low.isascii() or not ANY_UNSPACED.search(low) else MIXED_WORD
+    for word in pattern.findall(low):
         h = _known.get(word)
         if h is None:
             h = _known[word] = xxhash.xxh64_intdigest(word)
@@ -37,6 +49,12 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.array(out, dtype=np.uint64)
 
 
+def _forgetting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; the words kept for them are forgotten after the last one, as Python workers live on."""
+    yield from batches
+    _known.clear()
+
+
 def rolling(words: np.ndarray, length: int) -> np.ndarray:
     """Karp-Rabin hashes of all runs of ``length`` words, modulo 2^64."""
     count = len(words) - length + 1
@@ -116,7 +134,7 @@ def _words(table: DataFrame, id_column: str) -> DataFrame:
     """``id, key, words`` of texts with at least one word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _forgetting(batches):
             words = [word_hashes(t.as_py()).view(np.int64) for t in batch.column(2)]
             keep = pa.array([len(w) > 0 for w in words])
             out = [batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.int64()))]
@@ -146,7 +164,7 @@ def contaminated(
     benchmark: DataFrame,
     coverage: float = COVERAGE,
     min_tile: int = MIN_TILE,
-    filter_bits: int = FILTER_BITS,
+    filter_bits: int | None = None,
 ) -> DataFrame:
     """Documents that hold a test item, if only in pieces and in another order (an action per step).
 
@@ -154,13 +172,14 @@ def contaminated(
     longest_tile, coverage``, where tiles of at least ``min_tile`` words cover at least
     ``coverage`` of the item's words.
 
-    Seeds are runs of ``min_tile`` words. One pass over the documents keeps the words under
-    seeds that a bit array of the benchmark's seeds lets through (``filter_bits``, a fixed
-    size; false hits only cost work). Those seeds are then joined with the benchmark's, pairs
-    whose shared seeds cannot reach the coverage, each counted at all its places in the item, are
-    dropped, and the rest are tiled.
+    Seeds are runs of ``min_tile`` words, in shorter items of all their words. One pass over the
+    documents keeps the words under seeds that a bit array of the benchmark's seeds lets through
+    (``filter_bits``, by default after their number, up to 16 MB; false hits only cost work). A pair that reaches
+    the coverage shares enough seeds, counted at all their places in the item, that one of the item's
+    rarest is among them: only those are joined, so a phrase of many items makes no
+    pairs. What shares too few seeds is dropped before it is tiled.
 
-    Null and empty texts match nothing, nor do items of fewer than ``min_tile`` words. Repeated
+    Null and empty texts match nothing; an item of one word is found wherever that word stands. Repeated
     rows of documents or items give one row. Other columns are not read.
     """
     spark = docs.sparkSession
@@ -173,7 +192,8 @@ def contaminated(
     def item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for item, words in zip(batch.column(0), batch.column(1)):
-                grams = rolling(np.array(words.as_py(), np.int64).view(np.uint64), min_tile)
+                words = np.array(words.as_py(), np.int64).view(np.uint64)
+                grams = rolling(words, min(min_tile, len(words)))
                 seeds, places = np.unique(grams, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([item.as_py()] * len(seeds), pa.int64()), pa.array(seeds.view(np.int64)), pa.array(places)],
@@ -183,22 +203,34 @@ def contaminated(
     seeds = materialize(
         items.select("item", "words").mapInArrow(item_seeds, "item long, seed long, places long"), "tiling-seeds"
     )
-    sieve = spark.sparkContext.broadcast(_seed_filter(seeds.select("seed").distinct(), filter_bits))
+    common = seeds.groupBy("seed").agg(F.count("*").alias("items"))
+    if filter_bits is None:
+        filter_bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_PER_SEED * common.count()).bit_length()))
+    sieve = spark.sparkContext.broadcast(_seed_filter(common.select("seed"), filter_bits))
+    # At most min_tile numbers: how many words seeds have.
+    lengths = sorted(
+        r.n for r in items.select(F.least(F.size("words"), F.lit(min_tile)).alias("n")).distinct().collect()
+    )
 
     def document_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sieve.value
-        for batch in batches:
+        for batch in _forgetting(batches):
             rows = []
             for doc_id, key, text in zip(batch.column(0), batch.column(1), batch.column(2)):
                 words = word_hashes(text.as_py())
-                grams = rolling(words, min_tile)
-                # pmod of the signed value; the size is a power of two
-                place = grams & np.uint64(filter_bits - 1)
-                hit = np.flatnonzero(bits[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1))
-                if len(hit):
-                    at = np.unique((hit[:, None] + np.arange(min_tile)).ravel())
+                at, seeds = [], []
+                for length in lengths:
+                    grams = rolling(words, length)
+                    # pmod of the signed value; the size is a power of two
+                    place = grams & np.uint64(filter_bits - 1)
+                    hit = np.flatnonzero(bits[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1))
+                    if len(hit):
+                        at.append((hit[:, None] + np.arange(length)).ravel())
+                        seeds.append(grams[hit])
+                if at:
+                    at = np.unique(np.concatenate(at))
                     rows.append((
-                        doc_id.as_py(), key.as_py(), np.unique(grams[hit]).view(np.int64),
+                        doc_id.as_py(), key.as_py(), np.unique(np.concatenate(seeds)).view(np.int64),
                         at.astype(np.int32), words[at].view(np.int64),
                     ))
             if rows:
@@ -217,29 +249,33 @@ def contaminated(
         ),
         "tiling-hits",
     )
-    # Every covered word lies under a shared seed, and a place of a seed covers min_tile words.
-    reach = items.select("item", (F.size("words") * coverage / min_tile).alias("need"))
-    pairs = (
-        hits.select("key", F.explode("seeds").alias("seed"))
-        .distinct()
-        .join(seeds, "seed")
-        .groupBy("key", "item")
-        .agg(F.sum("places").alias("n"))
-        .join(reach, "item")
-        .filter("n >= need")
-        .select("key", "item")
+    # Every covered word lies under a shared seed, and a place of a seed covers its words. A pair that has the
+    # places needed cannot do without the rarest seeds, up to those whose places all others together lack.
+    size = F.size("words")
+    reach = items.select("item", (size * coverage / F.least(size, F.lit(min_tile))).alias("need"))
+    rising = Window.partitionBy("item").orderBy("items", "seed")
+    rare = (
+        seeds.join(common, "seed").join(reach, "item")
+        .withColumn("before", F.sum("places").over(rising.rowsBetween(Window.unboundedPreceding, -1)))
+        .withColumn("total", F.sum("places").over(Window.partitionBy("item")))
+        .filter(F.coalesce("before", F.lit(0)) <= F.col("total") - F.col("need"))
+        .select("item", "seed")
     )
+    pairs = hits.select("key", F.explode("seeds").alias("seed")).distinct().join(rare, "seed").select("key", "item").distinct()
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for row in batch.to_pylist():
-                test = np.array(row["test"], np.int64)
-                found = tiles(test, np.array(row["words"], np.int64), np.array(row["at"], np.int64), min_tile)
-                lengths = [n for _, _, n in found]
+                test, words = np.array(row["test"], np.int64), np.array(row["words"], np.int64)
+                least = min(min_tile, len(test))
+                shared = np.isin(rolling(test, least), rolling(words, least)).sum()
+                if shared * least < len(test) * coverage:
+                    continue
+                found = [n for _, _, n in tiles(test, words, np.array(row["at"], np.int64), least)]
                 rows.append((
-                    row["doc_id"], row["key"], row["item_id"], len(test), sum(lengths), len(lengths),
-                    max(lengths, default=0), sum(lengths) / len(test),
+                    row["doc_id"], row["key"], row["item_id"], len(test), sum(found), len(found),
+                    max(found, default=0), sum(found) / len(test),
                 ))
             if rows:
                 types = [pa.int64()] * 7 + [pa.float64()]

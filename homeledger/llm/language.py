@@ -10,7 +10,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from homeledger.session import materialize, ship_package
 
@@ -215,18 +214,17 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     ship_package(spark)
     shared = spark.sparkContext.broadcast(model)
-    whole = "text" in keep
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(0).field(keep.index("text")) if whole else batch.column(1)
-            found = [shared.value.predict(t.as_py()) for t in texts]
-            added = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *added], names=["row", "lang_pred", "score"])
+    def run(texts: pa.Array) -> pa.Array:
+        found = [shared.value.predict(t.as_py()) for t in texts]
+        return pa.StructArray.from_arrays(
+            [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
+            names=["lang_pred", "score"],
+        )
 
+    # Only the text crosses into Python. Marked as not deterministic, so that a filter on the result
+    # is not pushed below it, where it would be worked out once more.
+    judge = F.arrow_udf(run, "lang_pred string, score double").asNondeterministic()
     row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")
-    given = docs.select(row) if whole else docs.select(row, F.col("text").cast("string").alias("text"))
-    schema = T.StructType([
-        given.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())
-    ])
-    return given.mapInArrow(run, schema)
+    judged = docs.select(row, judge(F.col("text").cast("string")).alias("found"))
+    return judged.select("row", "found.lang_pred", "found.score")

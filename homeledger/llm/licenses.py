@@ -52,6 +52,11 @@ FAMILIES = (
     ("vim", "vim", "vim", "vim", ()),
     ("ruby", "ruby", "ruby", "ruby", ()),
     ("w3c", "w3c|w3c software", "w3c", "w3c", ()),
+    ("0bsd", "0bsd|zero clause bsd|bsd zero clause", "0bsd", "bsd", ()),
+    ("x11", "x11", "x11", "x11", ()),
+    ("busl", "business source", "busl", "bus", ("1 1",)),
+    ("elastic", "elastic", "elastic", "elastic", ("2 0", "2", "1 0")),
+    ("sspl", "server side public|sspl", "sspl", "s", ("1 0", "1")),
 )
 CC_PARTS = (
     ("cc-by", "by", "attribution"),
@@ -78,6 +83,8 @@ BODIES = (
 BARE = {"mit": "mit", "apache": "apache", "bsd": "bsd", "isc": "isc", "zlib": "zlib", "unlicense": "unlicense"}
 SURE = {"gpl": "gpl", "lgpl": "lgpl", "agpl": "agpl", "mpl": "mpl", "epl": "epl", "cddl": "cddl", "eupl": "eupl",
         "wtfpl": "wtfpl"}
+# Short names of other things too: without a full version they count near a license word only.
+SHARED = ("mpl", "epl")
 SURE_WORDS = {
     f"{word}{v}{version[0]}" if version else word: word
     for label, word in SURE.items() for version in ("", *{f[0]: f[4] for f in FAMILIES}[label]) for v in ("v", "")
@@ -122,17 +129,19 @@ def rules() -> list[tuple]:
                 add(50 + rank, BARE[label], "under", GRANTED_UNDER.replace("under ", "under").replace("(?:the )?", "(?: the)?").replace("(?:terms of )?", "(?: terms of)?"),
                     tail.strip(), full, 0.8)
             if label in SURE:
-                add(60 + rank, SURE[label], "", "", tail.strip(), full, 0.6)
+                near = "licen" if label in SHARED and " " not in (version or "") else ""
+                add(60 + rank, SURE[label], near, "", tail.strip(), full, 0.6)
                 if version is not None:
                     for v in ("v", ""):
-                        add(60, f"{SURE[label]}{v}{version[0]}", "", "", version[2:], full, 0.6)
+                        add(60, f"{SURE[label]}{v}{version[0]}", near, "", version[2:], full, 0.6)
     for label, short, long in CC_PARTS:
         for version in ("4 0", "3 0", "2 5", "2 0", None):
             full = label if version is None else f"{label}-{version.replace(' ', '.')}"
             tail = "" if version is None else f" {VERSION}{version}"
             rank = (1 if version is None else 0) + 2 * (6 - len(label.split("-")))
             add(10 + rank, "spdx", "cc", "", f"licen[cs]e identifier cc {short}{tail}", full, 1.0)
-            add(20 + rank, "cc", "by", "", f"{short}{tail}", full, 0.9)
+            # "cc by" alone is ordinary language, too.
+            add(20 + rank, "cc", "by" if tail or short != "by" else "licen", "", f"{short}{tail}", full, 0.9)
             add(20 + rank, "creative", "commons", "", f"commons (?:{long})(?: international| unported| generic)?"
                 f"(?: public)?(?: licen[cs]e)?{tail}", full, 0.9)
     add(20, "cc0", "", "", "", "cc0", 0.9)
@@ -140,7 +149,8 @@ def rules() -> list[tuple]:
     add(30, "unlicense", "", "(?:under|the)(?: the)?", "", "unlicense", 0.7)
     for label, count in (("bsd-2-clause", "2|two"), ("bsd-3-clause", "3|three"), ("bsd-4-clause", "4|four")):
         for anchor in NOUNS:
-            add(15, anchor, "clause", f"(?:(?:{count}) clause bsd|bsd (?:{count}) clause)", "", label, 0.95)
+            # With the words that lead in, so that a find of the bare name lies within.
+            add(15, anchor, "clause", f"(?:{GRANTED_UNDER})?(?:(?:{count}) clause bsd|bsd (?:{count}) clause)", "", label, 0.95)
     for label, anchor, keyword, before, after in BODIES:
         add(25, anchor, keyword, before, after, label, 0.9)
     return out
@@ -209,7 +219,8 @@ def detections(docs: DataFrame) -> DataFrame:
             F.array_join(F.slice("w", x.at + 2, SPAN), " ").alias("right"),
         ))),
     )
-    near = hits.join(table, "anchor").filter(
+    # The rules are the small side by construction; their anchors are few, and common ones hot.
+    near = hits.join(F.broadcast(table), "anchor").filter(
         F.contains("left", F.col("keyword")) | F.contains("right", F.col("keyword"))
     )
 

@@ -35,6 +35,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _forgetting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; the words kept for them are forgotten after the last one, as Python workers live on."""
+    yield from batches
+    _known.clear()
+
+
 def grams(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of a text's runs of ``shingle`` words; words as for SimHash.
 
@@ -71,7 +77,7 @@ def _signatures(docs: DataFrame, shingle: int) -> DataFrame:
     """``doc_id, key, whole`` (hash of the set of shingles; null: none) and ``bands``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _forgetting(batches):
             whole, keys = [], []
             for text in batch.column(2):
                 found = grams(text.as_py(), shingle)
@@ -92,7 +98,7 @@ def _shingles(docs: DataFrame, keys: DataFrame, shingle: int) -> DataFrame:
     """``key, grams`` of the documents with these keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _forgetting(batches):
             found = [grams(text.as_py(), shingle).view(np.int64) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["key", "grams"]

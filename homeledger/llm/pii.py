@@ -9,7 +9,7 @@ from datetime import date
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from homeledger.session import materialize, ship_package
@@ -38,6 +38,13 @@ KNOWN = re.compile(
     r"|AIza[0-9A-Za-z_-]{35}|(?<![0-9A-Za-z_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*"
     rf"|{KEY_BLOCK}(?:[^-]|-(?!----))*+{KEY_BLOCK.replace('BEGIN', 'END')}|{KEY_BLOCK}(?:\s{{1,2}}[A-Za-z0-9+/=]{{40,}})*+"
 )
+# What one of the known forms cannot do without.
+KNOWN_PARTS = (
+    "AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "sk-", "sk_", "pk-", "pk_", "rk-", "rk_",
+    "xox", "AIza", "eyJ", "-----BEGIN",
+)
+HEX_RUN = b"1" * 32
+HEX_MARKS = bytes(49 if chr(c) in "0123456789abcdefABCDEF" else 48 for c in range(256))
 HEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-Fa-f]{32,64})(?![0-9A-Za-z])")
 # What a text itself calls a key or a password.
 SECRET_WORDS = ("key", "token", "secret", "passw", "pwd", "clave", "contrase", "mot de passe")
@@ -47,6 +54,7 @@ GIVEN = re.compile(
     r"([^\s\"'`<>,;(){}\[\]]{6,})",
     re.IGNORECASE,
 )
+NUMBER_PART = re.compile(r"[0-9][ ()./-]{1,2}[0-9]")
 NUMBER = re.compile(r"(?<![0-9A-Za-z])\(?[0-9]++(?:[ ()./-]{1,2}[0-9]++){2,3}(?![0-9A-Za-z])")
 SSN = re.compile(r"([0-9]{3})-([0-9]{2})-([0-9]{4})")
 DATE = re.compile(r"([0-9]{1,2})[./]([0-9]{1,2})[./]([0-9]{4})|([0-9]{4})-([0-9]{2})-([0-9]{2})")
@@ -54,6 +62,7 @@ LOCAL_PHONE = re.compile(r"(?:\(([0-9]{3})\) |([0-9]{3})[ .-])[0-9]{3}[ .-][0-9]
 NAME = re.compile(
     r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? [A-Z][a-zà-ÿ]+(?: [A-Z][a-zà-ÿ]+)?"
 )
+TITLES = ("Mr", "Ms", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame", "Señor")
 OPAQUE = re.compile(r"[0-9]|[a-z][A-Z]")
 
 # Gazetteer: fixed words of our own choice.
@@ -66,6 +75,7 @@ FULL_NAME = re.compile(
     rf"\b(?:{'|'.join(sorted(map(str.title, FIRST_NAMES), key=len, reverse=True))})"
     r"(?:[ -][A-ZÀ-Þ](?:\.|[a-zà-ÿ]+))?(?: (?:van|von|de|del|la|der|den|du))* [A-ZÀ-Þ][a-zà-ÿ]+(?:-[A-ZÀ-Þ][a-zà-ÿ]+)?"
 )
+GIVEN_NAMES = tuple(sorted(map(str.title, FIRST_NAMES)))
 # Words that make a place of the first name before them.
 PLACES = frozenset(
     "avenue bridge church college hospital hotel island lake park river road school square station street strasse "
@@ -138,10 +148,16 @@ def _calendar(parts: tuple) -> bool:
 
 
 def extra_spans(text: str) -> list[Span]:
-    """Candidates of the other kinds, most of which some labeler has to speak for."""
+    """Candidates of the other kinds, most of which some labeler has to speak for.
+
+    A pattern runs only over texts that hold a fixed part of it.
+    """
     out: list[Span] = []
-    secrets = {(m.start(), m.end()) for m in KNOWN.finditer(text) if OPAQUE.search(m[0])}
-    secrets |= {(m.start(), m.end()) for m in HEX.finditer(text)}
+    secrets: set[tuple[int, int]] = set()
+    if any(part in text for part in KNOWN_PARTS):
+        secrets |= {(m.start(), m.end()) for m in KNOWN.finditer(text) if OPAQUE.search(m[0])}
+    if HEX_RUN in text.encode("utf-8", "replace").translate(HEX_MARKS):
+        secrets |= {(m.start(), m.end()) for m in HEX.finditer(text)}
     low = text.lower()
     if any(word in low for word in SECRET_WORDS):
         for m in GIVEN.finditer(text):
@@ -150,14 +166,15 @@ def extra_spans(text: str) -> list[Span]:
             if len(found) >= (8, 6)[bool(m[1])] and (OPAQUE.search(found) or m[1] and re.search("[:=]", m[0][: -len(m[2])])):
                 secrets.add((m.start(2), m.start(2) + len(found)))
     out += [(a, 4, b) for a, b in sorted(secrets)]
-    if DIGIT.search(text):
+    if NUMBER_PART.search(text):
         for m in NUMBER.finditer(text):
             for kind, form in ((5, SSN), (6, DATE), (8, LOCAL_PHONE)):
                 if form.fullmatch(m[0]):
                     out.append((m.start(), kind, m.end()))
-    titled = [m.span() for m in NAME.finditer(text)]
+    titled = [m.span() for m in NAME.finditer(text)] if any(t in text for t in TITLES) else []
     ends = [b for _, b in titled]
-    for a, b in (m.span() for m in FULL_NAME.finditer(text)):
+    named = FULL_NAME.finditer(text) if any(n in text for n in GIVEN_NAMES) else ()
+    for a, b in (m.span() for m in named):
         at = bisect_right(ends, a)  # the first titled name that ends behind its start
         if at == len(titled) or titled[at][0] >= b:
             out.append((a, 7, b))
@@ -261,28 +278,24 @@ def train(x: np.ndarray, y: np.ndarray, count: np.ndarray, ridge: float = 1.0, r
     return w
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """``doc_id, spans, codes``: each document's candidates, in one pass over the texts.
+def _candidates(texts: pa.Array) -> pa.Array:
+    """Each text's candidates: start, kind number and end of each in turn, and their features."""
+    spans, codes = [], []
+    for value in texts:
+        found, code = scan(value.as_py())
+        spans.append([n for span in found for n in span])
+        codes.append(code)
+    return pa.StructArray.from_arrays(
+        [pa.array(spans, pa.list_(pa.int64())), pa.array(codes, pa.list_(pa.int32()))], names=["spans", "codes"]
+    )
 
-    ``spans`` holds start, kind number and end of each in turn, ``codes`` its features.
-    """
-    ship_package(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans, codes = [], []
-            for value in batch.column(1):
-                found, code = scan(value.as_py())
-                spans.append([n for span in found for n in span])
-                codes.append(code)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(spans, pa.list_(pa.int64())), pa.array(codes, pa.list_(pa.int32()))],
-                names=["doc_id", "spans", "codes"],
-            )
 
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
-    ).mapInArrow(run, "doc_id long, spans array<long>, codes array<int>")
+def candidates(docs: DataFrame, keep: Column) -> DataFrame:
+    """``keep``, and ``spans`` and ``codes`` of each document, stored: one pass over the texts (an action)."""
+    ship_package(docs.sparkSession)
+    judge = F.arrow_udf(_candidates, "spans array<bigint>, codes array<int>")
+    found = docs.select(keep, judge(F.col("text").cast("string")).alias("found"))
+    return materialize(found.select(found.columns[0], "found.spans", "found.codes"), "pii-candidates")
 
 
 def scan(text: str | None) -> tuple[list[Span], list[int]]:
@@ -307,9 +320,10 @@ def fit(found: DataFrame) -> np.ndarray:
 
 
 def accepted(spans: list[Span], codes: list[int], probability: np.ndarray, accept: float = ACCEPT) -> list[Span]:
-    """The base spans, and of the others those found likely that overlap no base span.
+    """The base spans, and of the others those found likely; only secrets may overlap a base span.
 
-    Where others overlap each other, the first one stays, of equal starts the longest.
+    Where others overlap each other, the first one stays, of equal starts the longest. A secret
+    that holds a card number by chance stays beside it.
     """
     kept = [s for s in spans if s[1] < len(BASE)]
     starts, ends = [s[0] for s in kept], []
@@ -321,7 +335,8 @@ def accepted(spans: list[Span], codes: list[int], probability: np.ndarray, accep
         key=lambda x: (x[1], -x[2], x[3]),
     ):
         before = bisect_left(starts, end)  # base spans that begin before this one ends
-        if p >= accept and start >= done and (not before or ends[before - 1] <= start):
+        apart = KINDS[kind] == "secret" or not before or ends[before - 1] <= start
+        if p >= accept and start >= done and apart:
             kept.append((start, kind, end))
             done = end
     return sorted(kept)
@@ -361,38 +376,45 @@ def personal_data(docs: DataFrame) -> DataFrame:
     empty texts have no spans. Repeated rows give a row each; an empty table none. Only
     ``doc_id`` and ``text`` are read.
     """
-    found = materialize(candidates(docs), "pii-candidates")
+    found = candidates(docs, F.col("doc_id").cast("long").alias("doc_id"))
     return find(found, fit(found))
 
 
+def replaced(text: str | None, spans: list[Span]) -> str | None:
+    """The text with its spans, sorted, each replaced by its kind; overlapping ones by that of the first."""
+    if not text:
+        return text
+    out, done = [], 0
+    for start, kind, end in spans:
+        if start >= done:
+            out += [text[done:start], f"[{KINDS[kind].upper()}]"]
+        done = max(done, end)
+    return "".join([*out, text[done:]])
+
+
 def redact(docs: DataFrame) -> DataFrame:
-    """The documents with every span replaced by its kind in brackets; all columns and rows stay.
+    """The documents with every span replaced by its kind in brackets; all columns and rows stay (an action).
 
-    Overlapping spans become one, named for the first. ``n_chars``, where there is such a
+    Rows and candidates are stored once; only texts and their spans cross into Python. Overlapping spans become one, named for the first. ``n_chars``, where there is such a
     column, is counted anew. Null texts stay null.
     """
-    spark = docs.sparkSession
-    probability = spark.sparkContext.broadcast(fit(materialize(candidates(docs), "pii-candidates")))
     names = docs.columns
-    at = names.index("text")
-
-    def clean(text: str | None) -> str | None:
-        spans, codes = scan(text)
-        if not spans:
-            return text
-        out, done = [], 0
-        for start, kind, end in accepted(spans, codes, probability.value):
-            if start >= done:
-                out += [text[done:start], f"[{KINDS[kind].upper()}]"]
-            done = max(done, end)
-        return "".join([*out, text[done:]])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = list(batch.columns)
-            columns[at] = pa.array([clean(t.as_py()) for t in batch.column(at)], columns[at].type)
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
-
-    out = docs.mapInArrow(run, docs.schema)
+    stored = candidates(docs, F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    probability = docs.sparkSession.sparkContext.broadcast(fit(stored))
+
+    def run(texts: pa.Array, spans: pa.Array, codes: pa.Array) -> pa.Array:
+        out = []
+        for text, flat, code in zip(texts, spans.to_pylist(), codes.to_pylist()):
+            found = accepted(list(zip(flat[::3], flat[1::3], flat[2::3])), code, probability.value)
+            out.append(replaced(text.as_py(), found))
+        return pa.array(out, pa.string())
+
+    clean = F.arrow_udf(run, "string")
+    # Texts without a candidate stay in the JVM.
+    text = F.col("row.text").cast("string")
+    some = F.size("spans") > 0
+    cleaned = stored.select("row", "spans", clean(F.when(some, text), "spans", "codes").alias("new"))
+    given = {c: F.col("row").getField(c) for c in names}
+    given["text"] = F.when(F.size("spans") > 0, F.col("new")).otherwise(F.col("row.text"))
+    out = cleaned.select(*[v.alias(c) for c, v in given.items()])
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
-

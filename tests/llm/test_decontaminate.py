@@ -99,6 +99,34 @@ def test_items_that_repeat_themselves(spark):
     assert all(r.coverage == 1 for r in found)
 
 
+def test_short_items_and_unspaced_scripts(spark):
+    rng = random.Random(10)
+    items = ["quick zebra", "seven green old gates", "solitaire", "日本の首都は東京です", "ประเทศไทยมีเมืองหลวง"]
+    docs = [(i, f"{prose(rng, 30)} {t} {prose(rng, 30)}", "en", "s", 0) for i, t in enumerate(items)]
+    docs += [(7, "前文日本の首都は東京です。後文", "ja", "s", 0), (8, "zebra quick gates old green seven 東京の首都", "en", "s", 0)]
+    found = d.contaminated(spark.createDataFrame(docs, DOCUMENTS), items_of(spark, items)).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (7, 3)]
+
+
+def test_phrase_shared_by_all_items(spark):
+    """Equal to tiling every pair, also where most seeds are common to many items."""
+    rng = random.Random(12)
+    phrase = "which of the following statements is not true of the"
+    items = [f"{phrase} {prose(rng, 12)}" for _ in range(25)] + [phrase]
+    docs = [(i, f"{prose(rng, 20)} {phrase} {prose(rng, 30)}", "en", "s", 0) for i in range(20)]
+    docs += [(100 + i, f"{prose(rng, 20)} {' '.join(t.split()[k:])} {prose(rng, 9)}", "en", "s", 0)
+             for i, t in enumerate(items[:-1]) for k in (rng.randrange(15),)]
+    got = {(r.doc_id, r.item_id) for r in d.contaminated(spark.createDataFrame(docs, DOCUMENTS), items_of(spark, items)).collect()}
+    want = set()
+    for doc_id, text, *_ in docs:
+        words = d.word_hashes(text)
+        for item, t in enumerate(items):
+            test = d.word_hashes(t)
+            if sum(n for *_, n in d.tiles(test, words, np.arange(len(words)))) >= d.COVERAGE * len(test):
+                want.add((doc_id, item))
+    assert got == want and len(want) > 30
+
+
 def test_edges(spark, edge, empty):
     bench = items_of(spark, ["1 1 1 1 1 1", "same line same line same line other", "nothing of the kind is in here"])
     bench = bench.select("*", F.lit(1).alias("key"), F.lit(1).alias("words"))

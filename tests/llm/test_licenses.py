@@ -79,6 +79,19 @@ def test_bodies_and_names(spark):
     assert [(t, r.labels) for (t, _), r in zip(OTHER_FORMS, rows)] == OTHER_FORMS
 
 
+@pytest.mark.parametrize("text, labels", [
+    ("Licensed under the BSD 2-Clause License", "bsd-2-clause"),
+    ("distributed under the terms of the 3-clause BSD license", "bsd-3-clause"),
+    ("import matplotlib as mpl", ""), ("He scored twice in the EPL final", ""), ("cc by email to all", ""),
+    ("we have a cc by law", ""), ("the text is CC BY 4.0", "cc-by-4.0"), ("under a CC BY license", "cc-by"),
+    ("Business Source License 1.1", "busl-1.1"), ("the Elastic License 2.0", "elastic-2"), ("X11 License", "x11"),
+    ("Server Side Public License", "sspl"), ("SPDX-License-Identifier: 0BSD", "0bsd"),
+    ("an elastic band, a server side script, a business source", ""),
+])
+def test_names_and_what_only_looks_like_one(spark, text, labels):
+    assert scan(spark, [text])[0].labels == labels
+
+
 def test_contained_finds_are_suppressed(spark):
     df = spark.createDataFrame([(1, "licensed under the gnu lesser general public license version 3", "en", "s", 0)], DOCUMENTS)
     assert [(r.label, r.start, r.end) for r in licenses.detections(df).collect()] == [("lgpl-3", 0, 10)]

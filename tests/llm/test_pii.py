@@ -107,6 +107,15 @@ def test_em_finds_the_reliable_labeler():
     assert np.abs(1 - rates[0] - [0.95, 0.8, 0.6, 0.75]).max() < 0.08
 
 
+def test_secret_that_holds_a_card_number(spark):
+    secret = "deadbeef4111111111111111cafebabe"
+    rows = [(i, f"api key: {secret[:-2]}{i % 10}e and {i}", "en", "s", 0) for i in range(20)]
+    df = spark.createDataFrame(rows, DOCUMENTS)
+    for r in pii.personal_data(df).collect():
+        assert {"card:17:33", "secret:9:41"} <= set(r.spans.split(","))
+    assert {r.text for r in pii.redact(df).collect()} == {f"api key: [SECRET] and {i}" for i in range(20)}
+
+
 def test_redact(spark, edge, edge_rows):
     rows = [(1, "write bob@x.org or +1 (555) 123-4567!", "en", "s", 0), (2, None, "en", "s", 0), (3, "clean", "en", "s", 0)]
     got = {r.doc_id: r for r in pii.redact(spark.createDataFrame(rows, DOCUMENTS)).collect()}
