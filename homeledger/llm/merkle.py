@@ -87,7 +87,8 @@ def leaf_places(rows: DataFrame) -> DataFrame:
     })
     index = materialize(id_bitmaps(given), "merkle-index", "zstd")
     keys = [*GROUP, "chunk"]
-    placed = given.join(index.filter("n = ones"), keys).withColumn("index", F.col("before") + _rank())
+    # Bitmaps take far more room than their files, which compress well: they are not to be broadcast.
+    placed = given.join(index.filter("n = ones").hint("merge"), keys).withColumn("index", F.col("before") + _rank())
     out = placed.select(*rows.columns, "index", "total")
     again = index.filter("n > ones").select(*keys, "before", "total")
     if not again.isEmpty():

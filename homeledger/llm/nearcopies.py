@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from homeledger.llm.decontaminate import rolling
@@ -19,6 +20,9 @@ SIMILARITY = 0.8
 BANDS = 32  # a pair of similarity 0.8 shares no band in one case of 20 million
 ROWS = 4
 MOST_PIVOTS = 256
+# Of 128 two-bit pieces of min-hashes a pair of similarity 0.8 differs in 19; in more than this in one case of a million.
+SKETCH_LIMIT = 40
+SKETCH = [f"s{i}" for i in range(BANDS * ROWS // 32)]
 CACHED_WORDS = 200_000
 PIECE = 4096  # shingles hashed at a time
 
@@ -60,8 +64,12 @@ def grams(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(_mix(rolling(np.array(hashes, dtype=np.uint64), length) + np.uint64(length)))
 
 
-def bands(found: np.ndarray) -> np.ndarray:
-    """``BANDS`` numbers; two sets agree on one with the ``ROWS``-th power of their similarity."""
+def signature(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``BANDS`` numbers and a sketch of two bits of each min-hash.
+
+    Two sets agree on a band with the ``ROWS``-th power of their similarity; on a piece of the sketch
+    with their similarity, and by chance on a quarter of the others.
+    """
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for at in range(0, len(found), PIECE):
@@ -70,28 +78,44 @@ def bands(found: np.ndarray) -> np.ndarray:
         out = np.arange(BANDS, dtype=np.uint64)
         for column in least.reshape(BANDS, ROWS).T:
             out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + column)
-    return out
+        pieces = (_mix(least) & np.uint64(3)).reshape(-1, 32) << np.arange(0, 64, 2, dtype=np.uint64)
+    return out, np.bitwise_or.reduce(pieces, axis=1)
+
+
+def _apart(a: str, b: str) -> Column:
+    """How many pieces of two sketches differ."""
+    counts = []
+    for c in SKETCH:
+        x = F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))
+        low = F.lit(0x5555555555555555)
+        counts.append(F.bit_count(x.bitwiseOR(F.shiftright(x, 1)).bitwiseAND(low)))
+    return reduce(lambda m, n: m + n, counts)
 
 
 def _signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """``doc_id, key, whole`` (hash of the set of shingles; null: none) and ``bands``."""
+    """``doc_id, key, whole`` (hash of the set of shingles; null: none), ``bands`` and ``sketch``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _forgetting(batches):
-            whole, keys = [], []
+            whole, keys, sketches = [], [], []
             for text in batch.column(2):
                 found = grams(text.as_py(), shingle)
                 whole.append(xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63) if len(found) else None)
-                keys.append(bands(found).view(np.int64) if len(found) else [])
+                both = signature(found) if len(found) else ([], [0] * len(SKETCH))
+                keys.append(np.asarray(both[0]).view(np.int64) if len(found) else [])
+                sketches.append([int(n) - (1 << 64) * (int(n) >> 63) for n in both[1]])
+            pieces = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*sketches)) or [()] * len(SKETCH)], names=SKETCH)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(whole, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "key", "whole", "bands"],
+                [batch.column(0), batch.column(1), pa.array(whole, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pieces],
+                names=["doc_id", "key", "whole", "bands", "sketch"],
             )
 
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"),
         F.col("text").cast("string").cast("binary").alias("text"),
-    ).mapInArrow(run, "doc_id long, key long, whole long, bands array<long>")
+    ).mapInArrow(
+        run, f"doc_id long, key long, whole long, bands array<long>, sketch struct<{', '.join(f'{c}: bigint' for c in SKETCH)}>"
+    )
 
 
 def _shingles(docs: DataFrame, keys: DataFrame, shingle: int) -> DataFrame:
@@ -128,7 +152,9 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     its set of ``shingle``-word runs with those of an earlier one that stays is at least
     ``similarity``. So no two that stay are near copies, and nothing goes for a chain of others.
 
-    Equal sets are folded first. Candidates share one of ``BANDS`` min-hash bands. In each
+    Equal sets are folded first. Candidates share one of ``BANDS`` min-hash bands, and their sketches differ
+    in at most ``SKETCH_LIMIT`` pieces, so that texts of half the similarity that share a
+    band by the hundreds, by a common passage, make no pairs. In each
     round the first open documents of a band ("pivots") are compared with the rest of it, so a
     group of n near copies gives no n^2 pairs. No candidates are capped or dropped.
     """
@@ -136,12 +162,18 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     signed = materialize(_signatures(docs, shingle), "copies-bands")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
     nodes = materialize(
-        signed.groupBy("whole").agg(F.min(order).alias("rank"), F.min_by("bands", order).alias("bands")), "copies-nodes"
+        signed.groupBy("whole").agg(
+            F.min(order).alias("rank"), F.min_by(F.struct("bands", "sketch"), order).alias("_s")
+        ).select("rank", F.col("rank.key").alias("key"), "_s.bands", "_s.sketch"),
+        "copies-nodes",
     )
-    folded = signed.select("key").distinct().join(nodes.select(F.col("rank.key").alias("key")), "key", "left_anti")
-    each = nodes.select("rank", F.explode("bands").alias("band"))
+    folded = signed.select("key").distinct().join(nodes.select("key"), "key", "left_anti")
+    each = nodes.select("key", F.explode("bands").alias("band"))
     shared = each.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
-    members = materialize(each.join(shared, "band", "left_semi"), "copies-members")
+    # Most bands are one document's own; only the shared ones get what the comparison needs.
+    alike = materialize(each.join(shared, "band", "left_semi"), "copies-bands-shared")
+    members = alike.join(nodes.select("key", "rank", "sketch"), "key").select("band", "rank", "sketch")
+    members = materialize(members, "copies-members")
     keys = materialize(members.select(F.col("rank.key").alias("key")).distinct(), "copies-keys")
     sets = materialize(_shingles(docs, keys, shingle), "copies-shingles")
 
@@ -150,10 +182,11 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
         # Pivots per band; row_number() <= k is cut in each map task before the shuffle.
         first = F.row_number().over(Window.partitionBy("band").orderBy("rank"))
         picked = materialize(
-            members.withColumn("at", first).filter(F.col("at") <= pivots).select("band", "rank"), "copies-pivots"
+            members.withColumn("at", first).filter(F.col("at") <= pivots).select("band", "rank", "sketch"), "copies-pivots"
         )
         pairs = (
-            picked.withColumnRenamed("rank", "p").join(members, "band").filter("p < rank")
+            picked.select("band", F.col("rank").alias("p"), F.col("sketch").alias("q")).join(members, "band")
+            .filter((F.col("p") < F.col("rank")) & (_apart("q", "sketch") <= SKETCH_LIMIT))
             .select(F.col("p.key").alias("a"), F.col("rank.key").alias("b")).distinct()
         )
         edges = materialize(_similar(pairs, sets, similarity), "copies-edges")
