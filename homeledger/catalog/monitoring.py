@@ -397,8 +397,21 @@ SELECT ws AS window_start, ws + INTERVAL 1 HOUR AS window_end, event_type AS nam
   round(sum(value), 6) AS total, min(value) AS min, max(value) AS max,
   arg_max(value, (ts, event_id)) AS last FROM s GROUP BY 1, 2, 3""")
 def _(spark, sf):
-    w = streams.windowed_metrics(_points_stream(spark, sf), "1 hour", "24 hours", "5 minutes")
-    return _r(streams.run_to_end(w, "str4", ["window_start", "window_end", "name"]), "total")
+    panes = streams.run_to_end(
+        streams.pane_metrics(_points_stream(spark, sf)), "str4", ["window_start", "window_end", "name"])
+    return _r(streams.sliding(panes), "total")
+
+
+@query("str_3_hourly_percentiles", f"""
+WITH p AS (SELECT date_trunc('hour', ts) AS window_start, event_type AS name, value,
+  date_trunc('hour', ts) || '|' || event_type AS key, ts, event_id AS seq FROM events
+  WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 24 HOURS FROM events)),
+{_stats_sql('p')}
+SELECT DISTINCT p.window_start, p.window_start + INTERVAL 1 HOUR AS window_end, p.name, s.count, s.min, s.max, s.mean,
+  s.p50, s.p95, s.p99 FROM p JOIN stats s ON p.key = s.key""")
+def _(spark, sf):
+    counts = streams.windowed_values(_points_stream(spark, sf))
+    return _r(streams.run_to_end(counts, "str3p", each=streams.window_stats), "mean")
 
 
 @query("str_5_alert_stream", ALERT_EVENTS_SQL)

@@ -69,9 +69,13 @@ def location_text(street: Column, city: Column, state: Column, zip_code: Column)
     return F.concat_ws(", ", street, city, state, zip_code)
 
 
-def location_id(street: Column, city: Column, state: Column, zip_code: Column) -> Column:
-    """60-bit id from the four address parts; null and ``''`` stay distinct."""
+def location_id(street: Column, city: Column, state: Column, zip_code: Column, turn: int = 0) -> Column:
+    """60-bit id from the four address parts; null and ``''`` stay distinct.
+
+    Another ``turn`` gives another id, for an address whose first one is taken.
+    """
     parts = [F.coalesce(c, F.lit("\x02")) for c in (street, city, state, zip_code)]
+    parts += [F.lit(str(turn))] if turn else []
     return F.conv(F.substring(F.md5(F.concat_ws("\x01", *parts)), 1, 15), 16, 10).cast("bigint")
 
 

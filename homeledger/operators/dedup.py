@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from homeledger.functions import address
 from homeledger.operators.grouped import top_per_group
+from homeledger.session import materialize
 
 ADDRESS_KEYS = ["street_address", "city", "state", "zip_code"]
 
@@ -38,7 +41,13 @@ def deduplicate(
     ``seen`` holds the ``fp`` values of earlier runs. Rows without any address
     share one fingerprint and collapse to one row; ``keep_blank=True`` keeps them all.
     """
-    keyed = with_fingerprint(df)
+    return deduplicate_keyed(with_fingerprint(df), seen, order, keep_blank)
+
+
+def deduplicate_keyed(
+    keyed: DataFrame, seen: DataFrame | None = None, order: str = "ingest_seq", keep_blank: bool = False
+) -> DataFrame:
+    """:func:`deduplicate` of rows that have their fingerprint ``fp`` already."""
     blanks = None
     if keep_blank:
         blanks = keyed.filter(_blank_address())
@@ -77,19 +86,45 @@ def drop_duplicate_rows(df: DataFrame) -> DataFrame:
     return df.withColumns(as_entries).dropDuplicates().withColumns(back)
 
 
-def resolve_locations(df: DataFrame, existing: DataFrame) -> DataFrame:
-    """Address rows that are not in ``existing`` yet, one each, with their new ids.
-
-    Ids come from the address itself, so reruns agree and no global counter is needed.
-    """
+def new_locations(df: DataFrame, existing: DataFrame) -> DataFrame:
+    """Addresses that are not in ``existing`` yet, one row each."""
     new = df.select(*ADDRESS_KEYS).distinct()
     same = [F.col(f"n.{c}").eqNullSafe(F.col(f"e.{c}")) for c in ADDRESS_KEYS]
-    new = new.alias("n").join(existing.select(*ADDRESS_KEYS).alias("e"), same, "left_anti")
-    return new.select(address.location_id(*[F.col(c) for c in ADDRESS_KEYS]).alias("id"), "*")
+    return new.alias("n").join(existing.select(*ADDRESS_KEYS).alias("e"), same, "left_anti")
+
+
+def resolve_locations(
+    df: DataFrame, existing: DataFrame, id_of: Callable[[int], Column] | None = None
+) -> DataFrame:
+    """Address rows that are not in ``existing (id, ...)`` yet, one each, with ids of their own (actions).
+
+    Ids come from the address itself, so reruns agree and no global counter is needed. Ids that are stored
+    stay. Of new addresses that ask for one free id the smallest, by value, has it; the others, and those whose id
+    is taken, ask again with the next turn of the hash, in rounds over them alone. The result depends on the sets of
+    addresses only, not on their order. ``id_of`` makes the id of a turn.
+    """
+    if id_of is None:
+        id_of = lambda turn: address.location_id(*[F.col(c) for c in ADDRESS_KEYS], turn=turn)
+    given = F.struct(*ADDRESS_KEYS)
+    taken = existing.select("id").distinct()
+    asking, out, turn = new_locations(df, existing), None, 0
+    while True:
+        asked = materialize(asking.select(id_of(turn).alias("id"), *ADDRESS_KEYS), "locations-asked")
+        if asked.isEmpty() and out is not None:
+            return out
+        first = asked.join(taken, "id", "left_anti").groupBy("id").agg(F.min(given).alias("_first"))
+        winners = materialize(first.select("id", "_first.*"), "locations-won")
+        out = winners if out is None else out.union(winners)
+        taken = taken.union(winners.select("id"))
+        won = winners.select("id", given.alias("_won"))
+        asking = asked.join(won, "id", "left").filter(
+            F.col("_won").isNull() | ~given.eqNullSafe(F.col("_won"))
+        ).select(*ADDRESS_KEYS)
+        turn += 1
 
 
 def location_id_collisions(locations: DataFrame) -> DataFrame:
-    """Ids shared by several addresses; must be empty before new locations are stored."""
+    """Ids shared by several stored addresses; :func:`resolve_locations` adds none."""
     return locations.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
 
 

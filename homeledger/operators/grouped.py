@@ -45,33 +45,32 @@ def newest_per_group(
     return top_per_group(left.select("d.*"), keys, [F.desc(ts), F.desc(tie)], k)
 
 
-def values_at_ranks(
-    df: DataFrame, key: str, value: str, ranks: dict[str, Callable[[Column], Column]]
+def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``(keys, _v, _n)``: how often each value occurs in its group; null keys and values take no part."""
+    v = F.col(value).cast("double")
+    given = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    return df.filter(given & v.isNotNull()).groupBy(*keys, v.alias("_v")).agg(F.count("*").alias("_n"))
+
+
+def counts_at_ranks(
+    counts: DataFrame, keys: list[str], ranks: dict[str, Callable[[Column], Column]]
 ) -> DataFrame:
-    """``(key, <name> ...)``: the value at a rank of each group, in ascending order from 0.
+    """``(keys, <name> ...)``: the value at a rank of each group of :func:`value_counts`, ascending from 0.
 
-    ``ranks`` maps an output name to a function from the group's count to the rank. Equal
-    values are counted first. Those counts are summed per coarse log-scale bucket, which shows
-    the buckets holding the ranks, and only the values of those buckets are then ordered. No
-    task ever sees a whole group; null keys and null values take no part.
+    ``ranks`` maps an output name to a function from the group's count to the rank. The
+    counts are summed per coarse log-scale bucket, which shows the buckets holding the
+    ranks, and only the values of those buckets are then ordered. No task ever sees a whole group.
     """
-    v = F.col(value).cast("double")
-    counts = (
-        df.filter(F.col(key).isNotNull() & v.isNotNull())
-        .groupBy(F.col(key), v.alias("_v"))
-        .agg(F.count("*").alias("_n"))
-        .withColumn(
-            "_b",
-            (F.signum("_v") * F.floor(F.log(1.0 + F.abs("_v")) * _BUCKETS_PER_E)).cast("int"),
-        )
+    counts = counts.withColumn(
+        "_b", (F.signum("_v") * F.floor(F.log(1.0 + F.abs("_v")) * _BUCKETS_PER_E)).cast("int")
     )
-    by_bucket = counts.groupBy(key, "_b").agg(F.sum("_n").alias("_n"))
-    upto = Window.partitionBy(key).orderBy("_b")
-    total = F.sum("_n").over(Window.partitionBy(key))
+    by_bucket = counts.groupBy(*keys, "_b").agg(F.sum("_n").alias("_n"))
+    upto = Window.partitionBy(*keys).orderBy("_b")
+    total = F.sum("_n").over(Window.partitionBy(*keys))
     placed = by_bucket.select(
-        key, "_b", F.sum("_n").over(upto).alias("_end"), "_n", total.alias("_total")
+        *keys, "_b", F.sum("_n").over(upto).alias("_end"), "_n", total.alias("_total")
     ).select(
-        key, "_b", "_end", (F.col("_end") - F.col("_n")).alias("_before"),
+        *keys, "_b", "_end", (F.col("_end") - F.col("_n")).alias("_before"),
         *[rank(F.col("_total")).cast("long").alias(f"_rank_{name}") for name, rank in ranks.items()],
     )
     holds = [
@@ -79,9 +78,9 @@ def values_at_ranks(
         for name in ranks
     ]
     middle = placed.filter(reduce(lambda a, b: a | b, holds)).drop("_end")
-    in_bucket = Window.partitionBy(key, "_b").orderBy("_v")
+    in_bucket = Window.partitionBy(*keys, "_b").orderBy("_v")
     ranked = (
-        counts.join(middle, [key, "_b"])
+        counts.join(middle, [*keys, "_b"])
         .withColumn("_end", F.col("_before") + F.sum("_n").over(in_bucket))
         .withColumn("_start", F.col("_end") - F.col("_n"))
     )
@@ -90,7 +89,14 @@ def values_at_ranks(
         rank = F.col(f"_rank_{name}")
         return F.max(F.when((rank >= F.col("_start")) & (rank < F.col("_end")), F.col("_v")))
 
-    return ranked.groupBy(key).agg(*[at(name).alias(name) for name in ranks])
+    return ranked.groupBy(*keys).agg(*[at(name).alias(name) for name in ranks])
+
+
+def values_at_ranks(
+    df: DataFrame, key: str, value: str, ranks: dict[str, Callable[[Column], Column]]
+) -> DataFrame:
+    """``(key, <name> ...)``: the value at a rank of each group; equal values are counted first."""
+    return counts_at_ranks(value_counts(df, [key], value), [key], ranks)
 
 
 def group_median(df: DataFrame, key: str, value: str, out: str) -> DataFrame:

@@ -12,13 +12,32 @@ UNION = ["images"]
 MAPS = ["features"]
 
 
-def merge_groups(df: DataFrame, group: str = "group_id", order: str = "ingest_seq") -> DataFrame:
+def merged_images(df: DataFrame, group: str = "group_id", name: str = "images") -> DataFrame:
+    """``(group, image)``: each image of a group once, as rows; a group of any size stays spread."""
+    return df.select(group, F.explode(name).alias("image")).distinct()
+
+
+def merged_features(
+    df: DataFrame, group: str = "group_id", order: str = "ingest_seq", name: str = "features"
+) -> DataFrame:
+    """``(group, key, value)``: the latest value of each feature of a group, as rows."""
+    each = df.select(group, order, F.explode(name).alias("key", "value"))
+    return each.groupBy(group, "key").agg(F.max_by("value", order).alias("value"))
+
+
+def merge_groups(
+    df: DataFrame, group: str = "group_id", order: str = "ingest_seq", nested: bool = True
+) -> DataFrame:
     """One record per group.
 
     The first non-empty value wins, except: the longest description (earliest on
     ties), the first non-zero price or rent, the union of images, and for
     features the latest value of each key. All of it is mergeable aggregation, so
     map tasks pre-combine a hot group before the shuffle.
+
+    ``nested`` gathers a group's images and features into an array and a map, as records hold them. Where
+    groups may have any number of them, leave it out and take :func:`merged_images` and
+    :func:`merged_features` as tables beside the records: nothing is collected then.
     """
     special = {*UNION, *MAPS, group, order}
     seq = F.col(order)
@@ -41,24 +60,15 @@ def merge_groups(df: DataFrame, group: str = "group_id", order: str = "ingest_se
             agg = F.min_by(c, F.when(filled, seq))
         aggs.append(agg.alias(f.name))
     out = df.groupBy(group).agg(*aggs)
+    if not nested:
+        return out
     for name in UNION:
         if name in df.columns:
-            parts = (
-                df.select(group, F.explode(name).alias("_x")).distinct()
-                .groupBy(group).agg(F.sort_array(F.collect_list("_x")).alias(name))
-            )
-            out = out.join(parts, group, "left")
+            parts = merged_images(df, group, name).groupBy(group)
+            out = out.join(parts.agg(F.sort_array(F.collect_list("image")).alias(name)), group, "left")
     for name in MAPS:
         if name in df.columns:
-            latest = (
-                df.select(group, order, F.explode(name).alias("_k", "_v"))
-                .groupBy(group, "_k").agg(F.max_by("_v", order).alias("_v"))
-                .groupBy(group)
-                .agg(
-                    F.map_from_entries(F.sort_array(F.collect_list(F.struct("_k", "_v")))).alias(
-                        name
-                    )
-                )
-            )
+            entries = F.sort_array(F.collect_list(F.struct("key", "value")))
+            latest = merged_features(df, group, order, name).groupBy(group).agg(F.map_from_entries(entries).alias(name))
             out = out.join(latest, group, "left")
     return out

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from homeledger.operators.grouped import newest_per_group, values_at_ranks
+from homeledger.operators.grouped import counts_at_ranks, newest_per_group, value_counts
+from homeledger.session import materialize
 
 # --- fixed values ---------------------------------------------------------------
 RETENTION_HOURS = 24
@@ -62,20 +63,27 @@ def rank_percentile(p: float):
     return lambda n: F.floor(F.lit(p) * (n - 1))
 
 
+PERCENTILES = {"p50": rank_percentile(0.5), "p95": rank_percentile(0.95), "p99": rank_percentile(0.99)}
+
+
+def stats_of_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Count, min, max, mean and percentiles per group of value counts (``keys, _v, _n``)."""
+    n = F.sum("_n")
+    plain = counts.groupBy(*keys).agg(
+        n.alias("count"), F.min("_v").alias("min"), F.max("_v").alias("max"),
+        (F.sum(F.col("_v") * F.col("_n")) / n).alias("mean"),
+    )
+    return plain.join(counts_at_ranks(counts, keys, PERCENTILES), keys)
+
+
 def histogram_stats(points: DataFrame, keep: int | None = None) -> DataFrame:
-    """Count, min, max, mean and percentiles per key, of all values or of the newest ``keep``.
+    """Count, min, max, mean and percentiles per key, of all values or of the newest ``keep`` (an action).
 
-    Plain mergeable aggregates, joined with the values at the percentiles' ranks; null values
+    Equal values are counted once and stored; every figure comes from those counts. Null values
     count for nothing.
     """
-    values = histogram_values(points, keep).filter(F.col("value").isNotNull())
-    plain = values.groupBy("key").agg(
-        F.count("*").alias("count"), F.min("value").alias("min"), F.max("value").alias("max"),
-        F.avg("value").alias("mean"),
-    )
-    shares = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
-    ranked = values_at_ranks(values, "key", "value", {n: rank_percentile(p) for n, p in shares.items()})
-    return plain.join(ranked, "key")
+    counts = value_counts(histogram_values(points, keep), ["key"], "value")
+    return stats_of_counts(materialize(counts, "histogram-counts"), ["key"])
 
 
 def stats_for(keys: DataFrame, points: DataFrame, keep: int | None = None) -> DataFrame:
@@ -99,7 +107,7 @@ def newest_points(points: DataFrame, keep: int) -> DataFrame:
 
 
 def snapshot(points: DataFrame, keep: int | None = None) -> DataFrame:
-    """Long table of everything current: ``kind, key, stat, value``."""
+    """Long table of everything current: ``kind, key, stat, value`` (an action)."""
     def of(kind: str) -> DataFrame:
         return points.filter(F.col("kind") == kind)
 

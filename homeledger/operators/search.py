@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from homeledger.operators.grouped import previous_in_group, top_per_group
+from homeledger.operators.tables import before
 from homeledger.schema import VIEW_COLUMNS
 
 
@@ -95,14 +96,101 @@ def matching(properties: DataFrame, locations: DataFrame, c: Criteria) -> DataFr
 
 
 def search(properties: DataFrame, locations: DataFrame, c: Criteria) -> DataFrame:
-    """One page of matches, by a distributed top-k; without a limit, all of them in order."""
+    """One page of matches, by a distributed top-k; without a limit, all of them in order.
+
+    Deep pages, and an offset without a limit, go by :func:`page` (actions).
+    """
     found = matching(properties, locations, c)
     name = c.order_by if c.order_by in found.columns else "created_at"
+    if c.offset and (c.limit is None or c.offset > SHALLOW):
+        return page(found, name, c.order_direction, "property_id", c.offset, c.limit)
     found = found.orderBy(*ordering(name, c.order_direction, "property_id"))
     found = found.offset(c.offset) if c.offset else found
     return found if c.limit is None else found.limit(c.limit)
 
 
+SHALLOW = 10_000  # rows that a top-k may keep per task
+RANGES = 64
+EDGE_ROWS = 4_000
+
+
+def _edges(df: DataFrame, name: str, rows: int) -> list:
+    """Values that cut a column into ranges, from a small sample; they steer the work, not the result."""
+    given = df.select(name).filter(F.col(name).isNotNull())
+    drawn = given.sample(min(1.0, EDGE_ROWS / max(1, rows)), seed=1).limit(4 * EDGE_ROWS).collect()
+    values = sorted(r[0] for r in drawn)
+    return sorted({values[len(values) * i // RANGES] for i in range(RANGES)}) if values else []
+
+
+def page(df: DataFrame, name: str, direction: str, tie: str, offset: int, limit: int | None = None) -> DataFrame:
+    """Rows ``offset`` to ``offset + limit`` in the order of :func:`ordering`, however deep (actions).
+
+    Rows are counted per range of the order column, which shows the ranges that hold the asked places; only
+    those are sorted. A range of a single value is cut by ``tie`` in the same way. Without a limit the rows after the
+    range that holds the first place are taken as they are and sorted by all tasks.
+    """
+    counts = df.agg(F.count("*"), F.count(name)).first()
+    edges = _edges(df, name, counts[1])
+    value = F.col(name)
+    desc = direction.lower() == "desc"
+    # -1 holds what is below all edges; nulls come last ascending, first descending.
+    place = F.when(value.isNull(), len(edges)).otherwise(
+        F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= value)) - 1 if edges else F.lit(-1)
+    )
+    sizes = {r.at: r.n for r in df.groupBy(place.alias("at")).agg(F.count("*").alias("n")).collect()}
+    at, first, last, before = 0, None, None, 0
+    for k in sorted(sizes, reverse=desc):
+        if first is None and at + sizes[k] > offset:
+            first, before = k, at
+        if limit is None or at < offset + limit:
+            last = k
+        at += sizes[k]
+    rows = df.withColumn("_at", place)
+    order = ordering(name, direction, tie)
+    if first is None or limit == 0:
+        return df.limit(0)
+
+    def within(a: int, b: int) -> DataFrame:
+        return rows.filter(F.col("_at").between(min(a, b), max(a, b))).drop("_at")
+
+    if limit is None:
+        rest = rows.filter(F.col("_at") < first if desc else F.col("_at") > first).drop("_at")
+        size = sizes[first]
+        head = _few(within(first, first), name, direction, tie, offset - before, size - (offset - before), size)
+        return head.unionByName(rest).orderBy(*order)
+    return _few(within(first, last), name, direction, tie, offset - before, limit, sum(
+        n for k, n in sizes.items() if min(first, last) <= k <= max(first, last)))
+
+
+def _few(df: DataFrame, name: str, direction: str, tie: str, offset: int, limit: int, size: int) -> DataFrame:
+    """A part of the rows of some ranges; a large range of one value is cut by the tie."""
+    if size > SHALLOW and name != tie:
+        ends = df.agg(F.min(name).alias("a"), F.max(name).alias("b"), F.count(name).alias("n")).first()
+        if ends.n == 0 or ends.n == size and ends.a == ends.b:
+            return page(df, tie, "asc", tie, offset, limit)
+    return df.orderBy(*ordering(name, direction, tie)).offset(offset).limit(limit)
+
+
+def page_after(
+    df: DataFrame, name: str, direction: str, tie: str, last: tuple | None, limit: int
+) -> DataFrame:
+    """The next ``limit`` rows after the row with ``last = (value, tie)``; None: the first ones.
+
+    A cursor needs no count and no offset: a filter and a top-k, the same at any depth.
+    """
+    if last is not None:
+        value, key = last
+        v, t = F.col(name), F.col(tie) > F.lit(key)
+        desc = direction.lower() == "desc"
+        if value is None:
+            later = (v.isNull() & t) | (v.isNotNull() if desc else F.lit(False))
+        else:
+            further = v < F.lit(value) if desc else v > F.lit(value)
+            later = further | ((v == F.lit(value)) & t) | (F.lit(False) if desc else v.isNull())
+        df = df.filter(later)
+    return df.orderBy(*ordering(name, direction, tie)).limit(limit)
+
+
 def match_count(properties: DataFrame, locations: DataFrame, c: Criteria) -> DataFrame:
     return matching(properties, locations, c).agg(F.count("*").alias("total_count"))
 
@@ -118,7 +206,7 @@ def stale(
     ts: str = "last_scraped", tie: str = "property_id",
 ) -> DataFrame:
     """Rows not scraped for ``hours``; with a limit, the oldest ones."""
-    old = df.filter(F.col(ts) < as_of - F.expr(f"INTERVAL {int(hours)} HOURS"))
+    old = before(df, ts, as_of - F.expr(f"INTERVAL {int(hours)} HOURS"))
     return old if limit is None else old.orderBy(F.col(ts).asc(), F.col(tie).asc()).limit(limit)
 
 

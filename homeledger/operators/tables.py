@@ -12,27 +12,17 @@ from homeledger.schema import schema_of
 
 
 def insert_properties(new: DataFrame, properties: DataFrame, locations: DataFrame):
-    """``(property rows to append, location rows to append)``.
+    """``(property rows to append, location rows to append)`` (actions).
 
-    Known ``(external_id, data_source)`` pairs are left out. Location ids come from
-    the address, so a new property needs no join to find the id of a new location;
-    the join is only there for locations stored under an older id. Of stored locations
-    with one address the smallest id counts.
+    Known ``(external_id, data_source)`` pairs are left out. Location ids come from the address; one that is
+    taken already gives way to another. Of stored locations with one address the smallest id counts.
     """
     accepted, _ = accept_new(new, properties)
     new_locations = resolve_locations(accepted, locations)
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"l.{c}")) for c in ADDRESS_KEYS]
-    known = locations.groupBy(*ADDRESS_KEYS).agg(F.min("id").alias("id")).alias("l")
-    rows = (
-        accepted.alias("a")
-        .join(known, same, "left")
-        .select(
-            "a.*",
-            F.coalesce(
-                F.col("l.id"), address.location_id(*[F.col(f"a.{c}") for c in ADDRESS_KEYS])
-            ).alias("location_id"),
-        )
-    )
+    stored = locations.groupBy(*ADDRESS_KEYS).agg(F.min("id").alias("id"))
+    known = stored.unionByName(new_locations.select(*stored.columns)).alias("l")
+    rows = accepted.alias("a").join(known, same, "left").select("a.*", F.col("l.id").alias("location_id"))
     return rows, new_locations
 
 
@@ -138,6 +128,20 @@ def upgrade_schema(old: DataFrame) -> DataFrame:
     return coerce_types(full.select(*[f.name for f in fields]))
 
 
+def since(df: DataFrame, ts: str, from_: Column) -> DataFrame:
+    """Rows of ``ts`` from a time on; a table clustered by ``ts`` opens the folders of those days only."""
+    day = f"{ts}_day"
+    recent = df.filter(F.col(ts) >= from_)
+    return recent.filter(F.col(day) >= F.to_date(from_)) if day in df.columns else recent
+
+
+def before(df: DataFrame, ts: str, until: Column) -> DataFrame:
+    """Rows of ``ts`` before a time; a table clustered by ``ts`` opens the folders up to that day only."""
+    day = f"{ts}_day"
+    old = df.filter(F.col(ts) < until)
+    return old.filter(F.col(day) <= F.to_date(until)) if day in df.columns else old
+
+
 def retain_days(df: DataFrame, ts: str, as_of: Column, days: int = 90) -> DataFrame:
-    """Rows newer than the retention limit; on a date-partitioned table this prunes files."""
-    return df.filter(F.col(ts) >= as_of - F.expr(f"INTERVAL {int(days)} DAYS"))
+    """Rows newer than the retention limit; on a table clustered by ``ts`` this prunes folders."""
+    return since(df, ts, as_of - F.expr(f"INTERVAL {int(days)} DAYS"))

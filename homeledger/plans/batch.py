@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from homeledger.operators.clean import bulk_transform, transform_existing_columns
-from homeledger.operators.dedup import deduplicate, with_fingerprint
+from homeledger.operators.dedup import deduplicate, deduplicate_keyed, with_fingerprint
 from homeledger.operators.enrich import enrich
 from homeledger.operators.validate import error_report, split_valid, with_errors
 from homeledger.session import materialize
@@ -29,7 +29,8 @@ class Stages:
 
     @property
     def enriched(self) -> DataFrame:
-        return enrich(self.unique, self.as_of)
+        """Stores the unique rows (an action): the medians and the rows they are joined to both come from there."""
+        return enrich(materialize(self.unique, "batch-unique"), self.as_of)
 
 
 def transform(df: DataFrame, now: Column) -> DataFrame:
@@ -53,8 +54,16 @@ def audit(
 
     ``total_input = invalid + duplicates + processed`` always holds.
     """
+    return _counts(_checked(df, as_of), seen)
+
+
+def _checked(df: DataFrame, as_of: Column) -> DataFrame:
+    """Every row, transformed, with its errors and its fingerprint."""
+    return with_fingerprint(transform(with_errors(df), as_of))
+
+
+def _counts(checked: DataFrame, seen: DataFrame | None) -> DataFrame:
     n_errors = F.size("errors")
-    checked = with_fingerprint(transform(with_errors(df), as_of))
     per_fp = checked.groupBy(F.when(n_errors == 0, F.col("fp")).alias("fp")).agg(
         F.count("*").alias("rows"), F.sum(n_errors).alias("errors")
     )
@@ -100,16 +109,18 @@ def run(
 ) -> dict:
     """Run a batch: save the enriched rows, extend the fingerprint state, return the summary.
 
-    An empty input ends early. The unique rows are written once and reused, so the
-    input is read twice (counts, rows) however many outputs there are.
+    An empty input ends early. The input is read, validated and transformed once; the counts and
+    the unique rows come from what is stored of that.
     """
     spark = df.sparkSession
     started = time.monotonic()
     seen = None if state is None else fingerprints.load(spark, state)
-    counts = audit(df, as_of, seen).first().asDict()
+    checked = materialize(_checked(df, as_of), "batch-checked")
+    counts = _counts(checked, seen).first().asDict()
     saved = 0
     if counts["processed"] > 0:
-        unique = materialize(stages(df, as_of, seen).unique, "batch-unique")
+        valid = checked.filter(F.size("errors") == 0).drop("errors")
+        unique = materialize(deduplicate_keyed(valid, seen), "batch-unique")
         done = enrich(unique, as_of).withColumn("job_id", F.lit(job_id))
         saved = save_job_csv(done, output)
         if state is not None:

@@ -105,10 +105,31 @@ def save_job_csv(df: DataFrame, folder: str, job_column: str = "job_id") -> int:
     )
 
 
-def save_table(df: DataFrame, path: str, table: str, mode: str = "overwrite") -> DataFrame:
-    """Write with the declared columns and types of a table; returns the stored table."""
-    with_all_columns(df, table).write.mode(mode).parquet(path)
-    return df.sparkSession.read.parquet(path)
+def save_table(
+    df: DataFrame, path: str, table: str, mode: str = "overwrite", cluster: tuple[str, str] | None = None
+) -> DataFrame:
+    """Write with the declared columns and types of a table; returns the stored table.
+
+    ``cluster=(ts, key)`` stores it by day of ``ts``, a folder each (column ``<ts>_day``), and sorted by key
+    within, so that look-backs and retention open the days they need and look-ups skip row groups. A day of any
+    size is spread over files by ranges of the key.
+    """
+    rows = with_all_columns(df, table)
+    return save_clustered(rows, path, *cluster, mode=mode) if cluster else _stored(rows, path, mode)
+
+
+def _stored(rows: DataFrame, path: str, mode: str) -> DataFrame:
+    rows.write.mode(mode).parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
+def save_clustered(rows: DataFrame, path: str, ts: str, key: str, mode: str = "overwrite") -> DataFrame:
+    """Any table by day and key; see :func:`save_table`. Rows without ``ts`` are in a folder of their own."""
+    day = f"{ts}_day"
+    sorted_ = rows.withColumn(day, F.to_date(ts)).repartitionByRange(day, key).sortWithinPartitions(day, key)
+    sorted_.write.mode(mode).partitionBy(day).parquet(path)
+    schema = T.StructType([*rows.schema.fields, T.StructField(day, T.DateType())])
+    return rows.sparkSession.read.schema(schema).parquet(path)
 
 
 def export(df: DataFrame, path: str, fmt: str = "csv", encoding: str = "utf-8") -> str:

@@ -204,12 +204,24 @@ def _cards(root: Node, scopes: tuple[str, ...]) -> list[Node]:
     return []
 
 
+def _rows(html: str | None, spec: dict[str, Pick], cards: tuple[str, ...]) -> tuple[list[dict], str | None]:
+    """What a page gives, and why it gives nothing: the parser raises on some broken markup."""
+    try:
+        root = parse(html or "")
+        found = _cards(root, cards) if cards else [root]
+        return [{n: pick(card, p) for n, p in spec.items()} for card in found], None
+    except (AssertionError, ValueError, IndexError, RecursionError) as e:
+        return [], f"{type(e).__name__}: {e}"
+
+
 def select_fields(
-    pages: DataFrame, spec: dict[str, Pick], cards: tuple[str, ...] = (), html: str = "html"
+    pages: DataFrame, spec: dict[str, Pick], cards: tuple[str, ...] = (), html: str = "html", errors: str | None = None
 ) -> DataFrame:
     """One row per page, or per card with its position, holding the picked fields.
 
-    ``cards`` are tried in order; the first selector with any match gives the cards.
+    ``cards`` are tried in order; the first selector with any match gives the cards. A page that
+    cannot be parsed fails alone: without cards it is a row of nulls, with cards it has none. With ``errors``, the name
+    of a further column, it is a row in either case and the column says why (null on good rows).
     """
     keep = [c for c in pages.columns if c != html]
     extra = [("pos", "int", pa.int32())] if cards else []
@@ -217,9 +229,11 @@ def select_fields(
         [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields if f.name in keep]
         + [f"{n} {d}" for n, d, _ in extra]
         + [f"`{n}` {p.ddl()}" for n, p in spec.items()]
+        + ([f"`{errors}` string"] if errors else [])
     )
     new_fields = [pa.field(n, t) for n, _, t in extra]
     new_fields += [pa.field(n, p.arrow_type()) for n, p in spec.items()]
+    new_fields += [pa.field(errors, pa.string())] if errors else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Parsed pages are large, so an Arrow batch is worked off in slices.
@@ -228,17 +242,20 @@ def select_fields(
             source = batch.column(batch.schema.get_field_index(html))
             at, rows = [], []
             for i, text in enumerate(source.to_pylist()):
-                root = parse(text or "")
-                for pos, card in enumerate(_cards(root, cards) if cards else [root]):
-                    row = {n: pick(card, p) for n, p in spec.items()}
-                    if cards:
+                found, error = _rows(text, spec, cards)
+                if error is not None and (errors or not cards):
+                    found = [{}]
+                for pos, row in enumerate(found):
+                    if cards and error is None:
                         row["pos"] = pos
+                    if errors:
+                        row[errors] = error
                     at.append(i)
                     rows.append(row)
             kept = pa.table(batch.select(keep).columns, names=keep) if keep else None
             taken = kept.take(pa.array(at, pa.int64())) if keep else None
             columns = list(taken.columns) if keep else []
-            columns += [pa.array([r[f.name] for r in rows], f.type) for f in new_fields]
+            columns += [pa.array([r.get(f.name) for r in rows], f.type) for f in new_fields]
             out = pa.table(columns, names=keep + [f.name for f in new_fields])
             yield from out.combine_chunks().to_batches()
 

@@ -68,3 +68,81 @@ def test_alert_state_survives_batches(spark, scratch):
     want = alerts.alert_events(alerts.evaluate(ticks, rules))
     cols = ("rule", "tick", "event")
     assert rows(got, *cols) == rows(want, *cols)
+
+
+def test_ticks_out_of_order_across_batches(spark, scratch):
+    """Ticks shuffled among micro-batches, none later than the delay, give the events of the batch."""
+    rules = [
+        alerts.AlertRule("often", F.col("error_rate") > 0.1, "high", "t", cooldown_minutes=0),
+        alerts.AlertRule("slow", F.col("error_rate") > 0.25, "high", "t", cooldown_minutes=190),
+    ]
+    ticks = alert_ticks(spark, SF)
+    hours = Window.orderBy("tick")
+    # Blocks of six ticks land in turn; within a block the halves change places.
+    place = ticks.withColumn("_n", F.row_number().over(hours) - 1)
+    swapped = place.withColumn("_p", F.floor(F.col("_n") / 6) * 2 + F.when(F.col("_n") % 6 < 3, 1).otherwise(0))
+    end = ticks.agg(F.max("tick")).first()[0]
+    last = ticks.limit(1).withColumn("tick", F.lit(end) + F.expr("INTERVAL 10 DAYS"))
+    files = [r[0] for r in swapped.select("_p").distinct().orderBy("_p").collect()]
+    for p in files[:30]:
+        swapped.filter(F.col("_p") == p).drop("_n", "_p").coalesce(1).write.mode("append").parquet(f"{scratch}/in")
+    last.write.mode("append").parquet(f"{scratch}/in")
+    stream = streams.landed(spark, f"{scratch}/in", ticks.schema, files_per_batch=1)
+    got = streams.run_to_end(streams.alert_stream(stream, rules, "12 hours"), "t-shuffled")
+    seen = swapped.filter(F.col("_p").isin(files[:30])).drop("_n", "_p")
+    want = alerts.alert_events(alerts.evaluate(seen, rules))
+    cols = ("rule", "tick", "event")
+    assert rows(got, *cols) == rows(want, *cols) and got.count() > 5
+
+
+def test_percentiles_of_closed_windows(spark, scratch):
+    points = metric_points(spark, SF).drop("tags", "kind")
+    stream = land_in_order(spark, points, f"{scratch}/in", "ts", 4)
+    got = streams.run_to_end(streams.windowed_values(stream, "6 hours", "24 hours"), "t-pct", each=streams.window_stats)
+    values = {}
+    for r in points.select(F.window("ts", "6 hours").start.alias("w"), "name", "value").collect():
+        values.setdefault((r.w, r.name), []).append(r.value)
+    found = got.collect()
+    assert len(found) > 20
+    for r in found:
+        v = sorted(values[r.window_start, r.name])
+        assert (r["count"], r.min, r.max) == (len(v), v[0], v[-1])
+        assert (r.p50, r.p95, r.p99) == tuple(v[int(p * (len(v) - 1))] for p in (0.5, 0.95, 0.99))
+
+
+def test_sliding_windows_from_panes(spark, scratch):
+    points = metric_points(spark, SF).drop("tags", "kind")
+    batch = points.groupBy(F.window("ts", "1 hour", "15 minutes").alias("w"), "name").agg(
+        F.count("*").alias("n"), F.max_by("value", F.struct("ts", "seq")).alias("last")
+    ).select("w.start", "name", "n", "last")
+    want = rows(batch, "start", "name", "n", "last")
+    stream = land_in_order(spark, points, f"{scratch}/in", "ts", 3)
+    panes = streams.run_to_end(streams.pane_metrics(stream, "15 minutes"), "t-panes", [*streams.WINDOW, "name"])
+    cols = ("window_start", "name", "n", "last")
+    assert rows(streams.sliding(panes, "1 hour", "15 minutes"), *cols) == want
+    # Chained in one stream: the windows that the watermark has closed.
+    stream = streams.landed(spark, f"{scratch}/in", points.schema, files_per_batch=1)
+    chained = streams.run_to_end(streams.windowed_metrics(stream, "1 hour", "24 hours", "15 minutes"), "t-chained")
+    closed = rows(chained, *cols)
+    assert len(closed) > 50 and set(closed) <= set(want)
+
+
+def test_state_forgets_but_nothing_comes_twice(spark, scratch):
+    """Addresses that come back after the horizon: the state shrinks, the stored rows know them."""
+    df = listings(spark, SF).limit(300)
+    start = F.lit("2024-01-01").cast("timestamp")
+    for day in range(4):
+        again = df.withColumn("at", start + F.make_dt_interval(F.lit(day * 5)))
+        part = again.filter(F.col("ingest_seq") % 4 <= day)
+        part.coalesce(1).write.mode("append").parquet(f"{scratch}/in")
+    schema = spark.read.parquet(f"{scratch}/in").schema
+    stream = streams.landed(spark, f"{scratch}/in", schema, files_per_batch=1)
+    known = dedup.with_fingerprint(df.filter("ingest_seq % 7 = 0")).select("fp").distinct()
+    query = streams.run_first_seen(
+        streams.first_seen(stream, "2 days", "at"), f"{scratch}/out", f"{scratch}/log", known)
+    got = spark.read.parquet(f"{scratch}/out")
+    fps = dedup.with_fingerprint(df).select("fp").distinct()
+    assert got.count() == got.select("fp").distinct().count()
+    assert rows(got, "fp") == rows(fps.join(known, "fp", "left_anti"), "fp")
+    sizes = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(sizes) > sizes[-1] and max(sizes) < 2 * fps.count()
