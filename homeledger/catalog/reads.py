@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from homeledger.catalog.base import (
-    JOB_EVENTS, JOBS, LISTINGS, LOCATIONS, METRICS, PROPERTIES, RESULTS, SNAPSHOTS, query,
+    JOB_EVENTS, JOBS, LISTINGS, LOCATIONS, METRICS, ORACLE, PROPERTIES, RESULTS, SNAPSHOTS, query,
 )
 from homeledger.catalog.dedup import _LOC_ID
 from homeledger.functions import sql as sql_functions
@@ -18,7 +18,8 @@ from homeledger.plans.fixtures import (
 )
 from homeledger.schema import DATA_SOURCES, JOB_STATUSES, VIEW_COLUMNS
 from homeledger.session import scratch_path
-from homeledger.sinks.files import save_table
+from homeledger.sinks import versions
+from homeledger.sinks.files import save_clustered, save_table
 from homeledger.sources.files import read_table
 
 CRITERIA = dict(
@@ -100,6 +101,20 @@ def _(spark, sf):
     return search.search(*_tables(spark, sf), c).select("property_id", "price")
 
 
+@query("qry_6_deep_page", f"""
+WITH {SNAPSHOTS} SELECT id, created_at, list_price FROM snapshots
+ORDER BY created_at DESC NULLS FIRST, id LIMIT 50 OFFSET (SELECT count(*) // 2 FROM snapshots)""")
+def _(spark, sf):
+    rows = listing_snapshots(spark, sf).select("id", "created_at", "list_price")
+    return search.page(rows, "created_at", "desc", "id", rows.count() // 2, 50)
+
+
+@query("qry_6_rest_after_offset", f"""
+WITH {SNAPSHOTS} SELECT id, list_price FROM snapshots ORDER BY list_price NULLS LAST, id OFFSET 1000""")
+def _(spark, sf):
+    return search.page(listing_snapshots(spark, sf).select("id", "list_price"), "list_price", "asc", "id", 1000)
+
+
 @query("qry_7_dollar_bounds", f"""
 WITH {PROPERTIES} SELECT property_id, price FROM properties WHERE price >= 0 AND price <= 15000050""")
 def _(spark, sf):
@@ -124,6 +139,14 @@ def _(spark, sf):
         "property_id", "price")
 
 
+@query("qry_9_stored_look_up", ORACLE["qry_9_by_id"])
+def _(spark, sf):
+    path = scratch_path(spark, "versions")
+    versions.create(located_properties(spark, sf), path, "property_id", buckets=16)
+    ids = table(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("property_id"))
+    return versions.lookup(spark, path, ids).select("property_id", "price")
+
+
 @query("qry_10_by_external_id", f"""
 WITH {PROPERTIES}, keys AS (SELECT CAST(l_orderkey AS VARCHAR) AS external_id, 'zillow' AS data_source
   FROM lineitem WHERE l_linestatus = 'F')
@@ -279,19 +302,40 @@ SELECT p.property_id, CASE WHEN u.property_id IS NOT NULL THEN price + 100 * las
   CASE WHEN u.property_id IS NOT NULL THEN TIMESTAMP '2001-08-02' ELSE updated_at END AS updated_at
 FROM properties p LEFT JOIN u ON p.property_id = u.property_id""")
 def _(spark, sf):
+    props, updates = _price_changes(spark, sf)
+    return _update(props, updates).select("property_id", "price", "bedrooms", "bathrooms", "updated_at")
+
+
+def _price_changes(spark, sf):
     props = located_properties(spark, sf)
     # One change for each returned line; the last line's change counts.
     lines = table(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(
         F.col("l_orderkey").alias("property_id"), "l_linenumber")
     even = F.col("property_id") % 2 == 0
-    updates = props.join(lines, "property_id").select(
+    return props, props.join(lines, "property_id").select(
         "property_id", (F.col("price") + 100 * F.col("l_linenumber")).alias("price"), "l_linenumber",
         F.lit(None).cast("double").alias("bedrooms"),
         F.when(even, F.array(F.lit("price"), F.lit("bedrooms"))).otherwise(F.array(F.lit("price")))
         .alias("set_fields"))
-    out = tables.update_rows(
-        props, updates, "property_id", orders_as_of(), ["price", "bedrooms"], "l_linenumber")
-    return out.select("property_id", "price", "bedrooms", "bathrooms", "updated_at")
+
+
+def _update(rows, updates):
+    return tables.update_rows(
+        rows, updates, "property_id", orders_as_of(), ["price", "bedrooms"], "l_linenumber")
+
+
+def _stored(spark, df, key="property_id"):
+    path = scratch_path(spark, "versions")
+    versions.create(df, path, key, buckets=16)
+    return path
+
+
+@query("mut_2_stored_update", ORACLE["mut_2_partial_update"])
+def _(spark, sf):
+    props, updates = _price_changes(spark, sf)
+    path = _stored(spark, props)
+    versions.change(spark, path, updates, lambda rows: _update(rows, updates))
+    return versions.read(spark, path).select("property_id", "price", "bedrooms", "bathrooms", "updated_at")
 
 
 @query("mut_3_delete_cascade", f"""
@@ -311,6 +355,19 @@ def _(spark, sf):
     return parts[0].unionAll(parts[1]).unionAll(parts[2])
 
 
+@query("mut_3_stored_delete", ORACLE["mut_3_delete_cascade"])
+def _(spark, sf):
+    gone = table(spark, sf, "orders").filter("o_orderpriority = '5-LOW'").select(
+        F.col("o_orderkey").alias("property_id"))
+    parts = []
+    for name, rows in (("properties", located_properties(spark, sf)), ("listings", listing_snapshots(spark, sf)),
+                       ("metrics", property_metrics(spark, sf))):
+        path = _stored(spark, rows)
+        versions.change(spark, path, gone, lambda old: tables.delete_rows(old, gone))
+        parts.append(versions.read(spark, path).select(F.lit(name).alias("tbl"), "property_id"))
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
 @query("mut_4_upsert_metrics", f"""
 WITH {METRICS}, d AS (SELECT o_orderkey // 2 AS property_id, o_orderkey AS seq, CASE WHEN o_orderkey % 3 <> 0
   THEN CAST(o_orderkey % 100 AS INTEGER) END AS walk_score FROM orders WHERE o_orderstatus = 'O'),
@@ -321,12 +378,26 @@ SELECT COALESCE(m.property_id, c.property_id) AS property_id,
   CASE WHEN c.property_id IS NOT NULL THEN TIMESTAMP '2001-08-02' ELSE updated_at END AS updated_at
 FROM metrics m FULL JOIN c ON m.property_id = c.property_id""")
 def _(spark, sf):
+    return _upsert(property_metrics(spark, sf).drop("zestimate"), _scores(spark, sf))
+
+
+def _scores(spark, sf):
     k = F.col("o_orderkey")
-    changes = table(spark, sf, "orders").filter("o_orderstatus = 'O'").select(
+    return table(spark, sf, "orders").filter("o_orderstatus = 'O'").select(
         F.expr("o_orderkey div 2").alias("property_id"), k.alias("seq"),
         F.when(k % 3 != 0, (k % 100).cast("int")).alias("walk_score"))
-    return tables.upsert_metrics(
-        property_metrics(spark, sf).drop("zestimate"), changes, orders_as_of(), ["walk_score"], "seq")
+
+
+def _upsert(rows, changes):
+    return tables.upsert_metrics(rows, changes, orders_as_of(), ["walk_score"], "seq")
+
+
+@query("mut_4_stored_upsert", ORACLE["mut_4_upsert_metrics"])
+def _(spark, sf):
+    changes = _scores(spark, sf)
+    path = _stored(spark, property_metrics(spark, sf).drop("zestimate"))
+    versions.change(spark, path, changes, lambda rows: _upsert(rows, changes))
+    return versions.read(spark, path)
 
 
 @query("mut_5_append_listings", f"""
@@ -399,6 +470,12 @@ def _(spark, sf):
         table(spark, sf, "events"), "ts", events_as_of(), 14).select("event_id", "ts")
 
 
+@query("mut_9_clustered_retention", ORACLE["mut_9_retain_days"])
+def _(spark, sf):
+    stored = save_clustered(table(spark, sf, "events"), scratch_path(spark, "clustered"), "ts", "event_id")
+    return tables.retain_days(stored, "ts", events_as_of(), 14).select("event_id", "ts")
+
+
 # --- jobs -------------------------------------------------------------------------------
 
 

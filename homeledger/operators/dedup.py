@@ -96,7 +96,7 @@ def new_locations(df: DataFrame, existing: DataFrame) -> DataFrame:
 def resolve_locations(
     df: DataFrame, existing: DataFrame, id_of: Callable[[int], Column] | None = None
 ) -> DataFrame:
-    """Address rows that are not in ``existing (id, ...)`` yet, one each, with ids of their own (actions).
+    """Address rows that are not in ``existing`` yet, one each, with ids of their own (actions).
 
     Ids come from the address itself, so reruns agree and no global counter is needed. Ids that are stored
     stay. Of new addresses that ask for one free id the smallest, by value, has it; the others, and those whose id
@@ -106,7 +106,9 @@ def resolve_locations(
     if id_of is None:
         id_of = lambda turn: address.location_id(*[F.col(c) for c in ADDRESS_KEYS], turn=turn)
     given = F.struct(*ADDRESS_KEYS)
-    taken = existing.select("id").distinct()
+    # Addresses stored without ids take none.
+    ids = F.col("id") if "id" in existing.columns else F.lit(None).cast("bigint")
+    taken = existing.select(ids.alias("id")).distinct()
     asking, out, turn = new_locations(df, existing), None, 0
     while True:
         asked = materialize(asking.select(id_of(turn).alias("id"), *ADDRESS_KEYS), "locations-asked")

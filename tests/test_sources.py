@@ -300,3 +300,38 @@ def test_script_type_in_any_quotes(spark):
     assert {r.js for r in scripts.collect()} == {body} and scripts.count() == 4
     wrong = spark.createDataFrame([("<script type=application/ld+jsonx>a</script>",)], "html string")
     assert wrong.select(F.regexp_extract("html", responses.LD_SCRIPT, 1)).first()[0] == ""
+
+
+def test_a_bad_page_fails_alone(spark):
+    bad = "<div class='c'><b class='n'>lost</b></div><![foo[bar]]>"
+    good = "<div class='c'><b class='n'>kept</b></div><div class='c'></div>"
+    df = spark.createDataFrame([(1, bad), (2, good), (3, None)], "page_id int, html string")
+    spec = {"n": Pick(".n"), "all": Pick("b", every=True)}
+    cards = select_fields(df, spec, (".c",))
+    assert sorted((r.page_id, r.pos, r.n) for r in cards.collect()) == [(2, 0, "kept"), (2, 1, None)]
+    whole = {r.page_id: (r.n, r["all"]) for r in select_fields(df, spec).collect()}
+    assert whole == {1: (None, None), 2: ("kept", ["kept"]), 3: (None, [])}
+    # Counted, with the reason.
+    told = select_fields(df, spec, (".c",), errors="error")
+    failed = told.filter("error is not null").collect()
+    assert [(r.page_id, r.pos, r.n) for r in failed] == [(1, None, None)] and "Error" in failed[0].error
+    assert told.filter("error is null").count() == 2
+
+
+def test_a_batch_reads_its_input_once(spark, scratch):
+    from homeledger.plans import batch
+    from homeledger.plans.fixtures import listings, orders_as_of
+
+    sf = "/root/testdata/sf0.001"
+    listings(spark, sf).write.parquet(f"{scratch}/in")
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for frame in frames:
+            seen.add(frame.num_rows)
+            yield frame
+
+    df = spark.read.parquet(f"{scratch}/in")
+    got = batch.run(df.mapInArrow(count, df.schema), "j", orders_as_of(), f"{scratch}/out")
+    assert seen.value == df.count() == got["total_input"]
+    assert got["saved"] == got["processed"] == got["total_input"] - got["invalid"] - got["duplicates"] > 0
