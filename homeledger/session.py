@@ -35,12 +35,16 @@ def build_session(app: str, cpus: int | str = "*", shuffle_partitions: int = 8)
 def checkpoint_root(spark: SparkSession) -> str:
     """This application's folder for intermediate tables, on storage that all executors share.
 
-    It lies under ``spark.checkpoint.dir``, or under the warehouse where that is unset, and the
-    driver's file system deletes it when the application ends.
+    It lies under ``spark.checkpoint.dir``, or on one machine under the warehouse where that is unset, and the
+    driver's file system deletes it when the application ends. On a cluster the setting is needed: other
+    machines would not see a folder of the driver's.
     """
     app = spark.sparkContext.applicationId
     if app not in _roots:
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if base is None and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = base or spark.conf.get("spark.sql.warehouse.dir")
         jvm = spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/scratch-{app}")
         fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
