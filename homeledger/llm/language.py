@@ -208,7 +208,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """``row`` (a struct of the columns ``keep``), ``lang_pred`` and ``score`` of every document.
 
     The score, 0 to 1, is the calibrated probability of the predicted language. A null text, or one
-    without a letter, gives ``und`` and 0. Repeated rows give a row each. One pass, no shuffle;
+    without a letter, gives ``und`` and 0. Of equally likely languages the first by name is taken. Repeated rows give a row each. One pass, no shuffle;
     the model's size is fixed by the number of buckets and languages.
     """
     spark: SparkSession = docs.sparkSession

@@ -15,7 +15,10 @@ BUCKET = 1024
 
 
 def encoded_lengths(docs: DataFrame, vocabulary: str = tokens.VOCABULARY) -> DataFrame:
-    """One row per document: ``n_tokens`` long, the closing id included (null text: 1)."""
+    """One row per document: ``n_tokens`` long, the closing id included (null text: 1).
+
+    Repeated rows give a row each; very long texts are encoded whole; other columns are not read.
+    """
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -256,7 +256,7 @@ def scan(docs: DataFrame) -> DataFrame:
     ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_found``:
     ``labels`` joins the phrases' labels and those of the rules' finds; the score is that of the
     best rule (0.9 for a phrase), 0 if there is nothing. Words are runs of ASCII letters and digits and of
-    all characters beyond ASCII. Null and empty texts have no words. Repeated rows give a row
+    all characters beyond ASCII. Null and empty texts have no words; very long ones are scanned whole. Repeated rows give a row
     each, an empty table none; only ``doc_id`` and ``text`` are read.
     """
     found = detections(docs).groupBy("key").agg(

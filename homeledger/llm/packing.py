@@ -116,6 +116,8 @@ def pack(
     that is longer), and a lost task packs the same pieces again. Each block fills its
     sequences completely, the last ones being powers of two.
 
+    Documents of equal length are taken in the order of the scan, sequences of equal cost in that of their opening.
+
     A null or empty text is a document of one token, the closing id. Repeated rows are packed
     once each, a null ``doc_id`` stays null, an empty table gives no rows, other columns are
     not read.

@@ -116,9 +116,13 @@ def write_shards(
     order, every one with the same number of bytes; ``path/manifest`` holds one row with what
     a reader needs. The sequences are stored once, so that their number and each task's first
     index are known; then each goes straight to the task that writes its shard. The order
-    depends on the key and the input's splits only. An empty table gives a manifest of no slots.
+    depends on the key and the input's splits only. An empty table gives a manifest of no slots. Repeated rows are
+    written each, very long texts take as many sequences as they need, other columns are not read. A
+    vocabulary with ids that ``dtype`` cannot hold raises.
     """
     spark = docs.sparkSession
+    if tokens.encoding(vocabulary).n_vocab > np.iinfo(np.dtype(dtype)).max + 1:
+        raise ValueError(f"{dtype} cannot hold the ids of {vocabulary}")
     spread = materialize(sequences(docs, sequence, vocabulary, dtype), "sequences", compression="zstd")
     parts = spread.groupBy("part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -155,7 +159,8 @@ def write_shards(
 def read_shards(spark: SparkSession, path: str, first_slot: int = 0) -> DataFrame:
     """The written sequences from ``first_slot`` on, to resume training there.
 
-    Whole shards before it are not opened; ``byte_offset`` is the slot's place in its shard.
+    Whole shards before it are not opened. ``byte_offset`` is where the slot's ids begin when those of its shard are
+    laid one after the other, as every slot has the same number of bytes; the stored files themselves are compressed.
     """
     meta = spark.read.parquet(f"{path}/manifest").first()
     schema = "slot long, index long, first_doc_id long, first_start long, n_tokens int, ids binary, shard int"

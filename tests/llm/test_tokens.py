@@ -22,6 +22,11 @@ def edge_ids(edge_rows):
     return [(doc_id, plain_ids(text)) for doc_id, text, *_ in edge_rows]
 
 
+def test_ids_that_do_not_fit_raise(spark, edge, scratch):
+    with pytest.raises(ValueError, match="u1"):
+        shards.write_shards(edge, f"{scratch}/s", dtype="<u1")
+
+
 def test_ids_are_those_of_the_tokenizer(edge_rows):
     for _, text, *_ in edge_rows:
         assert (tokens.document_ids(text) == plain_ids(text)).all()
