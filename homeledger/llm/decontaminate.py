@@ -16,8 +16,8 @@ from homeledger.session import materialize, ship_package
 
 MIN_TILE = 5
 COVERAGE = 0.5  # share of a test item; what texts share by chance stays well below it
-BITS_PER_SEED = 16  # of the bit array, as far as its largest size goes
-LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
+BITS_PER_SEED = 1024  # of the bit array, as far as its largest size goes
+LEAST_BITS, MOST_BITS = 1 << 24, 1 << 27
 WORD = re.compile(r"\w+")
 # Letters of scripts written without spaces are words of their own (code blocks; fixed values).
 UNSPACED = (
