@@ -335,3 +335,32 @@ def test_a_batch_reads_its_input_once(spark, scratch):
     got = batch.run(df.mapInArrow(count, df.schema), "j", orders_as_of(), f"{scratch}/out")
     assert seen.value == df.count() == got["total_input"]
     assert got["saved"] == got["processed"] == got["total_input"] - got["invalid"] - got["duplicates"] > 0
+
+
+def test_plain_pages_are_read_as_the_parser_reads_them():
+    import random
+
+    from homeledger.sources import html
+
+    def tree(page):
+        return [(n.tag, n.attrs, n.classes, n.parent and n.parent.at, [c if isinstance(c, str) else c.at for c in n.children])
+                for n in page]
+
+    def parsed(text):
+        t = html._Tree()
+        t.feed(text)
+        t.close()
+        return t.page
+
+    bits = ["<p>", "</p>", '<a href="/x?y=1" class="u v">', "</a>", "<br>", "<img src=\"q\">", "a &amp; b", "&ampx", " \n", "<LI>", "</li>",
+            "<script>", "</script>", "<style>", "</style>", "x > y", "a < b", "<!-- c -->", "<!DOCTYPE html>", "<br/>", "<i b=c>", "<p",
+            '<b t="a>b">', '<b t="&lt;">', "<b t='1'>", '<b T="1" t="2">', "</b >", "<textarea>", "é ", "<title>", "</title>", "&"]
+    rnd = random.Random(3)
+    plain = 0
+    for _ in range(6000):
+        text = "".join(rnd.choice(bits[:18] if rnd.random() < 0.7 else bits) for _ in range(rnd.randrange(9)))
+        page = html._plain(text)
+        if page is not None:
+            plain += 1
+            assert tree(page) == tree(parsed(text)), text
+    assert plain > 1000
