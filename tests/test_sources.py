@@ -364,3 +364,9 @@ def test_plain_pages_are_read_as_the_parser_reads_them():
             plain += 1
             assert tree(page) == tree(parsed(text)), text
     assert plain > 1000
+
+
+def test_listings_are_spread_over_all_cores(spark):
+    from homeledger.plans.fixtures import listings
+
+    assert listings(spark, "/root/testdata/sf0.001").select(F.spark_partition_id()).distinct().count() >= 8
