@@ -370,3 +370,37 @@ def test_listings_are_spread_over_all_cores(spark):
     from homeledger.plans.fixtures import listings
 
     assert listings(spark, "/root/testdata/sf0.001").select(F.spark_partition_id()).distinct().count() >= 8
+
+
+def test_rows_of_plain_pages_equal_those_picked_from_the_tree():
+    import random
+
+    from homeledger.sources import html
+
+    unit = (("n", Pick("b")), ("all", Pick("b, i", every=True)), ("own", Pick("", ("id", "k"))))
+    spec = {
+        "first": Pick("i"), "below": Pick(".c b"), "link": Pick('a[href*="/h"]', ("k", "href")), "own": Pick("", ("id",)), "text": Pick(""),
+        "alls": Pick("b, .d", every=True), "ids": Pick("[id]", ("id",), every=True), "units": Pick(".u, .d", each=unit),
+    }
+    bits = ['<div class="c">', '<div class="d c">', '<div class="u" id="1">', '<p id="">', '<p k="2" id="3">', "</div>", "</p>", "</x>", "<b>", "</b>", "<i>",
+            "</i>", '<a href="/h/1">', '<a href="/h/2" k="x">', '<a href="/g">', "</a>", '<img class="d" id="4">', "<br>", " t ", "a &amp; b", "<script>",
+            "</script>", "<style>", "</style>", "x > y", "<b class='d'>", '<p id="a>b">', '<p id="&lt;">', "<!-- c -->", "<p", "é"]
+    rnd = random.Random(5)
+    readers, fast = {}, 0
+    for _ in range(8000):
+        text = "".join(rnd.choice(bits[:24] if rnd.random() < 0.97 else bits) for _ in range(rnd.randrange(14)))
+        for cards in ((), (".c", "p"), (".none", ".c .d, .u")):
+            root = html._linked(html._parsed(text))
+            found = html._cards(root, cards) if cards else [root]
+            want = [{n: pick(card, p) for n, p in spec.items()} for card in found]
+            kept = readers.setdefault(cards, [])
+            assert html._rows(text, spec, cards, kept) == (want, None), (text, cards)
+            fast += html._read(text, kept) is not None
+    assert fast > 8000
+    # Nothing is built for plain pages, and cards of the same tags share their plan.
+    card = '<div class="c"><i>{0}</i><a href="/h/{0}">x</a></div>'
+    page = "<body>" + "".join(card.format(i) for i in range(500)) + "</body>"
+    kept = []
+    rows, _ = html._rows(page, spec, (".c",), kept)
+    assert [(r["first"], r["link"]) for r in rows] == [(str(i), f"/h/{i}") for i in range(500)]
+    assert len(kept[0].plans) == 3 and kept[0].paths < 10
