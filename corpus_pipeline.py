@@ -31,14 +31,6 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return simhash.deduplicate(docs)
 
 
-def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what shares four fifths of its five-word shingles with a document that stays.
-
-    Such copies mostly differ in more bits than a SimHash group allows.
-    """
-    return nearcopies.drop_near_copies(docs)
-
-
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a test item of the benchmark."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -49,6 +41,15 @@ def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return pii.redact(docs)
 
 
+def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops what shares four fifths of its five-word shingles with a document that stays.
+
+    Such copies mostly differ in more bits than a SimHash group allows. The texts are compared as they are packed, with
+    personal data replaced; a dropped test item takes no clean copies with it, as the stages before settle it.
+    """
+    return nearcopies.drop_near_copies(docs)
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokenises the documents and packs them; one row per piece of a sequence."""
     return packing.pack(docs)
@@ -57,9 +58,9 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [
     ("language", language_stage),
     ("near_duplicates", near_duplicate_stage),
-    ("near_copies", near_copy_stage),
     ("decontamination", decontamination_stage),
     ("personal_data", personal_data_stage),
+    ("near_copies", near_copy_stage),
     ("packing", packing_stage),
 ]
 

@@ -20,6 +20,7 @@ SIMILARITY = 0.8
 BANDS = 32  # a pair of similarity 0.8 shares no band in one case of 20 million
 ROWS = 4
 MOST_PIVOTS = 256
+FEW = 8  # one band in so many is compared first
 # Of 128 two-bit pieces of min-hashes a pair of similarity 0.8 differs in 19; in more than this in one case of a million.
 SKETCH_LIMIT = 40
 SKETCH = [f"s{i}" for i in range(BANDS * ROWS // 32)]
@@ -145,6 +146,15 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     )
 
 
+def _close(asks: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of keys in one band whose sketches are close, the one that asks being the earlier."""
+    return (
+        asks.select("band", F.col("rank").alias("p"), F.col("sketch").alias("q")).join(members, "band")
+        .filter((F.col("p") < F.col("rank")) & (_apart("q", "sketch") <= SKETCH_LIMIT))
+        .select(F.col("p.key").alias("a"), F.col("rank.key").alias("b")).distinct()
+    )
+
+
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """``key`` of every document that is a near copy of one that stays (an action per step).
 
@@ -155,8 +165,8 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     Equal sets are folded first. Candidates share one of ``BANDS`` min-hash bands, and their sketches differ
     in at most ``SKETCH_LIMIT`` pieces, so that texts of half the similarity that share a
     band by the hundreds, by a common passage, make no pairs. In each
-    round the first open documents of a band ("pivots") are compared with the rest of it, so a
-    group of n near copies gives no n^2 pairs. No candidates are capped or dropped.
+    round the first open documents of a band ("pivots") are compared with each other and those of them that
+    stay with the rest of it, so a group of n near copies gives no n^2 pairs. No candidates are capped or dropped.
     """
     ship_package(docs.sparkSession)
     signed = materialize(_signatures(docs, shingle), "copies-bands")
@@ -184,22 +194,30 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
         picked = materialize(
             members.withColumn("at", first).filter(F.col("at") <= pivots).select("band", "rank", "sketch"), "copies-pivots"
         )
-        pairs = (
-            picked.select("band", F.col("rank").alias("p"), F.col("sketch").alias("q")).join(members, "band")
-            .filter((F.col("p") < F.col("rank")) & (_apart("q", "sketch") <= SKETCH_LIMIT))
-            .select(F.col("p.key").alias("a"), F.col("rank.key").alias("b")).distinct()
-        )
-        edges = materialize(_similar(pairs, sets, similarity), "copies-edges")
-        # What is a pivot in all its bands has been compared with all earlier open ones.
+        # A pivot in all its bands meets all earlier open ones among the pivots, so it is settled among them.
         degree = members.groupBy(F.col("rank.key").alias("key")).agg(F.count("*").alias("n"))
         full = (
             picked.groupBy(F.col("rank.key").alias("key")).agg(F.count("*").alias("m"))
             .join(degree, "key").filter("m = n").select("key")
         )
-        leaders = full.join(edges.select(F.col("b").alias("key")), "key", "left_anti")
+        leaders = full
+        if pivots > 1:
+            settled = picked.join(full, F.col("rank.key") == F.col("key"), "left_semi")
+            edges = _similar(_close(picked, settled), sets, similarity)
+            leaders = full.join(edges.select(F.col("b").alias("key")), "key", "left_anti")
         leaders = materialize(leaders, "copies-leaders")
-        covered = edges.join(leaders.withColumnRenamed("key", "a"), "a", "left_semi").select(F.col("b").alias("key"))
-        covered = materialize(covered.distinct(), "copies-covered")
+        # Only leaders meet the rest of their bands. Copies share most bands and nearly all go in a few of
+        # them, so that the others compare what is left.
+        asks = materialize(picked.join(leaders, F.col("rank.key") == F.col("key"), "left_semi"), "copies-asks")
+        parts = []
+        for few in (True, False):
+            own = (F.pmod("band", F.lit(FEW)) == 0) == F.lit(few)
+            rest = members.filter(own)
+            for part in parts:
+                rest = rest.join(part, F.col("rank.key") == F.col("key"), "left_anti")
+            found = _similar(_close(asks.filter(own), rest), sets, similarity)
+            parts.append(materialize(found.select(F.col("b").alias("key")).distinct(), "copies-covered"))
+        covered = parts[0].union(parts[1])
         gone = gone.union(covered)
         done = leaders.union(covered).withColumnRenamed("key", "done")
         members = members.join(done, F.col("rank.key") == F.col("done"), "left_anti")

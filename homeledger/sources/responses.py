@@ -129,8 +129,9 @@ def with_first_parsed(pages: DataFrame, html: str = "html") -> DataFrame:
     scripts = F.regexp_extract_all(html, F.lit(LD_SCRIPT), F.lit(1))
     parses = lambda js: F.try_parse_json(js).isNotNull()
     first = F.get(F.filter(scripts, parses), F.lit(0))
-    head = F.when(first.rlike(r"^\s*\["), F.get_json_object(first, "$[0]")).otherwise(first)
-    df = pages.withColumn("_ld", head)
+    script = F.col("_ld")
+    head = F.when(script.rlike(r"^\s*\["), F.get_json_object(script, "$[0]")).otherwise(script)
+    df = pages.withColumn("_ld", first).withColumn("_ld", head)
     found, text, price = _product(F.col("_ld"))
     ok = F.coalesce(found, F.lit(False))
     return df.select(

@@ -66,3 +66,36 @@ def test_edges(edge, empty):
     ids = [r.doc_id for r in got.collect()]
     assert ids.count(7) == 1 and 8 not in ids and 9 not in ids and 3 in ids and 4 not in ids
     assert nearcopies.drop_near_copies(empty).count() == 0
+
+
+def test_copies_of_dropped_test_items_and_of_personal_data(spark):
+    names = [name for name, _ in corpus_pipeline.STAGES]
+    assert names.index("decontamination") < names.index("near_copies") == names.index("packing") - 1
+    rng = random.Random(14)
+    body = prose(rng, 30)
+    rows = [(i, f"Write to a{i}@example.com about {body}", "en", "s", 0) for i in range(4)]
+    df = spark.createDataFrame(rows, DOCUMENTS)
+    for name, stage in corpus_pipeline.STAGES:
+        if name in ("personal_data", "near_copies"):
+            df = stage(spark, df, "")
+    assert [r.doc_id for r in df.collect()] == [0]
+
+
+def test_a_large_group_is_compared_in_few_bands(spark):
+    rng = random.Random(15)
+    rows = list(enumerate(family(rng, 100, 200, 1)))
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCUMENTS).repartition(4)
+    made = []
+    close = nearcopies._close
+
+    def counted(asks, members):
+        joined = asks.select("band", asks.rank.alias("p")).join(members, "band").filter("p < rank")
+        made.append(joined.count())
+        return close(asks, members)
+
+    nearcopies._close = counted
+    try:
+        assert sorted(r.doc_id for r in nearcopies.drop_near_copies(df).collect()) == greedy(rows)
+    finally:
+        nearcopies._close = close
+    assert sum(made) < 12 * len(rows)
