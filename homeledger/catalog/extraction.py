@@ -33,13 +33,14 @@ def _flat(spark, sf) -> DataFrame:
     return listings(spark, sf).select(*CSV_COLUMNS)
 
 
-def _bundle(df: DataFrame, per_page: int, item: Column, wrap, name: str) -> DataFrame:
-    """Rows into pages of ``per_page`` items, in key order, spread over many tasks."""
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _bundle(spark, sf, per_page: int, item: Column, wrap, name: str) -> DataFrame:
+    """Listings into pages of ``per_page`` items, in key order.
+
+    The thin listings are dealt by page before their items are written, so that no item and no page is shuffled.
+    """
     k = F.col("ingest_seq")
-    page = F.floor(k / per_page).cast("bigint")
     items = F.transform(F.array_sort(F.collect_list(F.struct(k, item.alias("x")))), lambda s: s["x"])
-    return df.groupBy(page.alias("page_id")).agg(wrap(items).alias(name)).repartition(tasks)
+    return listings(spark, sf, per_page).groupBy("page_id").agg(wrap(items).alias(name))
 
 
 # --- files ------------------------------------------------------------------------------
@@ -54,12 +55,11 @@ def _(spark, sf):
 
 @query("src_2_json", _CSV_SQL)
 def _(spark, sf):
-    df = _flat(spark, sf)
     path = scratch_path(spark, "json") + ".json"
-    body = _bundle(df, 500, F.to_json(F.struct(*CSV_COLUMNS)),
+    body = _bundle(spark, sf, 500, F.to_json(F.struct(*CSV_COLUMNS)),
                    lambda x: F.concat(F.lit("["), F.array_join(x, ","), F.lit("]")), "value")
     body.select("value").write.option("maxRecordsPerFile", 1).text(path)
-    return files.read_file(spark, path, df.schema)
+    return files.read_file(spark, path, _flat(spark, sf).schema)
 
 
 @query("snk_1_save_csv", _CSV_SQL)
@@ -128,7 +128,7 @@ def _no_data(spark, sf) -> DataFrame:
 WITH {LISTINGS} SELECT ingest_seq // 100 AS page_id, ingest_seq, external_id, city, price FROM listings""")
 def _(spark, sf):
     fields = ["ingest_seq", "external_id", "city", "price"]
-    pages = _bundle(listings(spark, sf).select(*fields), 100, F.to_json(F.struct(*fields)),
+    pages = _bundle(spark, sf, 100, F.to_json(F.struct(*fields)),
                     lambda x: F.concat(F.lit('{"properties": ['), F.array_join(x, ","), F.lit("]}")), "body")
     return responses.api_records(pages.unionByName(_no_data(spark, sf))).select("page_id", *fields)
 
@@ -150,7 +150,7 @@ def _home_json() -> Column:
 
 
 def _home_responses(spark, sf) -> DataFrame:
-    pages = _bundle(listings(spark, sf), 350, _home_json(),
+    pages = _bundle(spark, sf, 350, _home_json(),
                     lambda x: F.concat(F.lit('{"homes": ['), F.array_join(x, ","), F.lit("]}")), "body")
     return pages.unionByName(_no_data(spark, sf))
 
@@ -275,7 +275,7 @@ def _zillow_search(spark, sf) -> DataFrame:
     # Every page also carries a card without an id, which must be left out.
     stray = '<li><div class="list-card-info"><a href="/about">x</a><div class="list-card-price">$1</div></div>'
     return _bundle(
-        listings(spark, sf), 40, card,
+        spark, sf, 40, card,
         lambda x: F.concat(F.lit("<html><body><ul>"), F.array_join(x, ""), F.lit(stray + "</ul></body></html>")),
         "html")
 
@@ -340,7 +340,7 @@ def _apartments_search(spark, sf) -> DataFrame:
         _div("sqft", _sqft_text(" Sq Ft")), _div("availability", available), _div("amenities", amenities),
         _div("rating", F.concat(F.lit("★ "), (k % 50) / 10.0)), F.lit("</section>"))
     return _bundle(
-        listings(spark, sf), 40, card,
+        spark, sf, 40, card,
         lambda x: F.concat(F.lit("<body><main>"), F.array_join(x, "\n"), F.lit("</main></body>")), "html")
 
 
@@ -508,7 +508,7 @@ def _apartments_detail(spark, sf) -> DataFrame:
         '<ul><li class="amenity">Laundry</li><li class="amenity-item">A/C units</li>'
         '<li class="feature-item">Dishwasher</li></ul><span class="phone-number">555-0100</span>'
         '<b class="rating-value">4.5 of 5</b><p class="description">Nice</p></body>')
-    pages = _bundle(listings(spark, sf), 8, unit,
+    pages = _bundle(spark, sf, 8, unit,
                     lambda x: F.concat(F.lit("<body>" + head), F.array_join(x, ""), F.lit(tail)), "html")
     return pages.withColumn("url", F.concat(F.lit("https://www.apartments.com/p/"), "page_id"))
 

@@ -24,8 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat scraped listings, one per order."""
+def listings(spark: SparkSession, sf_dir: str, per_page: int | None = None) -> DataFrame:
+    """Flat scraped listings, one per order.
+
+    With ``per_page`` each carries the ``page_id`` of its block of so many keys, and a page's listings lie in one task.
+    """
     parts = table(spark, sf_dir, "part")
     n_parts = parts.agg(F.count("*")).scalar()
     orders = table(spark, sf_dir, "orders").withColumn("_p", F.col("o_orderkey") % n_parts)
@@ -36,8 +39,11 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     # These rows are thin and lie in few splits, but much work per row follows: all cores take part in it.
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    joined = joined.repartition(tasks, "o_orderkey")
     k, c = F.col("o_orderkey"), F.col("c_custkey")
+    if per_page:
+        joined = joined.withColumn("page_id", F.floor(k / per_page).cast("bigint")).repartition(tasks, "page_id")
+    else:
+        joined = joined.repartition(tasks, "o_orderkey")
     null = F.lit(None)
     house = (c % 400).cast("string")
     suffix = F.when(k % 3 == 0, " Street").when(k % 3 == 1, " St").otherwise(" Avenue")
@@ -66,6 +72,7 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.lpad(house, 5, "9"), F.when(k % 2 == 0, "-1234").otherwise(""))
         ).alias("zip_code"),
         F.col("o_orderdate").alias("created_at"),
+        *(["page_id"] if per_page else []),
     )
 
 

@@ -404,3 +404,12 @@ def test_rows_of_plain_pages_equal_those_picked_from_the_tree():
     rows, _ = html._rows(page, spec, (".c",), kept)
     assert [(r["first"], r["link"]) for r in rows] == [(str(i), f"/h/{i}") for i in range(500)]
     assert len(kept[0].plans) == 3 and kept[0].paths < 10
+
+
+def test_pages_are_dealt_once_and_never_shuffled(spark):
+    from homeledger.catalog.extraction import _zillow_search
+
+    plan = _zillow_search(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.splitlines() if "Exchange" in x and "Broadcast" not in x]
+    assert len([x for x in dealt if "page_id" in x]) == 1
+    assert "RoundRobin" not in plan and "ingest_seq" not in "".join(dealt)
