@@ -1,4 +1,4 @@
-"""Quality rules: text counts, and lines that too many documents of a host share."""
+"""Quality rules: text counts, and the removal of lines that too many documents of a host share."""
 
 from __future__ import annotations
 
@@ -19,25 +19,38 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
 
-def text_counts(docs: DataFrame, host: str = "source") -> DataFrame:
-    """One row per document with its counts and its lines' hashes, in one pass over the texts.
-
-    ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` and, for each line
-    with a word, ``lines`` (hash of host and normalised line: lower case, single spaces) and
-    ``line_words``. A null text has no words; null hosts are one host.
-    """
+def _texts(docs: DataFrame, host: str) -> DataFrame:
+    """``doc_id, host`` (its hash), ``text`` (null: empty) and ``key``, which rows equal in all three share."""
     text = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64(F.col(host).isNull(), F.col(host)).alias("host"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    split = text.select(
-        "doc_id", "host", _words(F.col("text")).alias("w"),
+    return text.withColumn("key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "host", "text"))
+
+
+def _normal(line: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(line), SPACE, " "))
+
+
+def _has_word(line: Column) -> Column:
+    return line.rlike(r"[^ \t-\r]")
+
+
+def text_counts(docs: DataFrame, host: str = "source") -> DataFrame:
+    """One row per document with its counts and its lines' hashes, in one pass over the texts.
+
+    ``key, doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` and, for each line
+    with a word, its hash in ``lines`` (of host and normalised line: lower case, single spaces).
+    A null text has no words; null hosts are one host.
+    """
+    split = _texts(docs, host).select(
+        "key", "doc_id", "host", _words(F.col("text")).alias("w"),
         (F.char_length("text") - F.char_length(F.translate("text", "#*$%&|<>", ""))).alias("n_symbols"),
-        F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^ \t-\r]")).alias("raw"),
+        F.filter(F.split("text", "\n"), _has_word).alias("raw"),
     )
     hashed = split.select(
-        "doc_id", "host", "n_symbols", "raw",
+        "key", "doc_id", "host", "n_symbols", "raw",
         F.size("w").cast("long").alias("n_words"),
         F.char_length(F.array_join("w", "")).alias("word_chars"),
         F.when(
@@ -47,7 +60,7 @@ def text_counts(docs: DataFrame, host: str = "source") -> DataFrame:
                 lambda i: F.xxhash64(*[F.element_at("w", i + k) for k in range(WINDOW)]),
             ),
         ).alias("h"),
-        F.transform("raw", lambda x: F.trim(F.regexp_replace(F.lower(x), SPACE, " "))).alias("normal"),
+        F.transform("raw", _normal).alias("normal"),
     )
     # Only texts with a window that comes again sort their windows.
     sorted_ = hashed.select(
@@ -67,15 +80,13 @@ def text_counts(docs: DataFrame, host: str = "source") -> DataFrame:
         F.transform("p", lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get("p", i + 1) - p, F.lit(WINDOW)))),
         F.lit(0).cast("long"), lambda a, b: a + b,
     )
-    gaps = lambda x: F.char_length(x) - F.char_length(F.replace(x, F.lit(" "), F.lit(""))) + 1
     return places.select(
-        "doc_id", "n_words",
+        "key", "doc_id", "n_words",
         F.col("word_chars").cast("long").alias("word_chars"),
         F.col("n_symbols").cast("long").alias("n_symbols"),
         (F.size("raw") - F.size(F.array_distinct("raw"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.transform("normal", lambda x: F.xxhash64(F.col("host"), x)).alias("lines"),
-        F.transform("normal", gaps).alias("line_words"),
     )
 
 
@@ -88,26 +99,42 @@ def common_lines(counts: DataFrame, max_host_docs: int = MAX_HOST_DOCS) -> DataF
     return each.groupBy("line").agg(F.count("*").alias("n")).filter(F.col("n") > max_host_docs).select("line")
 
 
+def without_common_lines(docs: DataFrame, counts: DataFrame, common: DataFrame, host: str = "source") -> DataFrame:
+    """``key, clean, n_left``: the texts that hold common lines without these lines, and the words left.
+
+    One row per key. The other lines stand as they were, blank ones too. The lines that go are joined to their texts as
+    hashes; where Spark does not broadcast these, each text is shuffled once.
+    """
+    lines = counts.select("key", F.explode("lines").alias("line"))
+    gone = lines.join(common, "line").groupBy("key").agg(F.collect_set("line").alias("gone"))
+    stays = lambda x: ~(_has_word(x) & F.array_contains("gone", F.xxhash64(F.col("host"), _normal(x))))
+    clean = _texts(docs, host).join(gone, "key").select(
+        "key", F.array_join(F.filter(F.split("text", "\n"), stays), "\n").alias("clean"))
+    counted = clean.withColumn("n_left", F.size(_words(F.col("clean"))).cast("long"))
+    return counted.groupBy("key").agg(F.first("clean").alias("clean"), F.first("n_left").alias("n_left"))
+
+
 def quality_rules(
     docs: DataFrame, host: str = "source", max_host_docs: int = MAX_HOST_DOCS, min_left: float = MIN_LEFT
 ) -> DataFrame:
-    """The counts of every document, ``common_words`` and the verdicts (an action per step).
+    """The counts of every document, its text without common lines, and the verdicts (an action per step).
 
     ``base_failed``: fewer than ``MIN_WORDS`` words, or over ``MAX_REPEAT_PERCENT`` % of them
-    in repeated windows. ``common_words``: words in lines removed as common to the host.
-    ``kept``: not failed, and what is left is at least ``min_left`` of the words. The counts are stored
-    under a row number, so repeated rows and null ids stay apart, each a document of its own. A
-    null or empty text fails. Very long texts and lines count whole. An empty table gives no rows.
+    in repeated windows. ``clean``: the text without the lines common to the host, null where none is
+    removed and the text stands as it is. ``common_words``: the words that went with them.
+    ``kept``: not failed, and what is left is at least ``min_left`` of the words. The counts are
+    stored, and each row is a document of its own, repeated rows and null ids too; equal rows share one
+    cleaned text. A null or empty text fails. Very long texts and lines count whole. An empty table gives no rows.
     """
-    counts = materialize(text_counts(docs, host).withColumn("row", F.monotonically_increasing_id()), "line-counts")
+    counts = materialize(text_counts(docs, host), "line-counts")
     common = materialize(common_lines(counts, max_host_docs), "common-lines")
-    lines = counts.select("row", F.inline(F.arrays_zip("lines", "line_words"))).withColumnRenamed("lines", "line")
-    removed = lines.join(common, "line").groupBy("row").agg(F.sum("line_words").alias("common_words"))
+    cleaned = without_common_lines(docs, counts, common, host)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    left = F.col("n_words") - F.col("common_words") >= min_left * F.col("n_words")
+    n_left = F.coalesce("n_left", "n_words")
     return (
-        counts.drop("lines", "line_words").join(removed, "row", "left").drop("row")
-        .withColumn("common_words", F.coalesce("common_words", F.lit(0)).cast("long"))
+        counts.drop("lines").join(cleaned, "key", "left")
+        .withColumn("common_words", F.col("n_words") - n_left)
         .withColumn("base_failed", failed)
-        .withColumn("kept", ~failed & left)
+        .withColumn("kept", ~failed & (n_left >= min_left * F.col("n_words")))
+        .drop("key", "n_left")
     )

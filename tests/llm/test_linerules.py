@@ -52,3 +52,18 @@ def test_a_document_counts_once(spark):
     rows = [(1, "x y\n" * 50, "en", "s", 0), (2, "x y", "en", "s", 0)]
     counts = linerules.text_counts(spark.createDataFrame(rows, DOCUMENTS))
     assert linerules.common_lines(counts, 1).count() == 1 and linerules.common_lines(counts, 2).count() == 0
+
+
+def test_common_lines_are_taken_out_of_the_texts(spark):
+    rng = random.Random(11)
+    banner = "Read  our TERMS today"
+    texts = [f"{prose(rng, 12)}\n\n{banner if i % 2 else banner.lower()}\n {prose(rng, 5)}\n{banner}" for i in range(30)]
+    rows = [(i, t, "en", "s" if i < 20 else None, 0) for i, t in enumerate(texts)]
+    rows += [rows[3], rows[3], (None, texts[4], "en", "s", 0), (99, None, "en", "s", 0)]
+    got = linerules.quality_rules(spark.createDataFrame(rows, DOCUMENTS), max_host_docs=15).collect()
+    want = Counter()
+    for doc_id, text, _, host, _ in rows:
+        lines = (text or "").split("\n")
+        clean = "\n".join(x for x in lines if x.lower().split() != banner.lower().split()) if host and text else None
+        want[doc_id, clean, 8 if clean is not None else 0] += 1
+    assert Counter((r.doc_id, r.clean, r.common_words) for r in got) == want
